@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, token_counts, warc
+from . import bpe, chat, fingerprints, mixing, neardup, token_counts, warc
 from .common import new_folder, tables
 
 #: Vocabulary files; any of the same kind will do.
@@ -18,6 +18,10 @@ TOKEN_LIMIT = 2048
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(tables(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(tables(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
@@ -26,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +61,21 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM b JOIN f USING (digest)
 """
 
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.seen FROM r JOIN e ON e.x = r.doc_id),
+k AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+FROM documents d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 OP10_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,8 +93,8 @@ FROM g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_warc": op3_warc, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts, "op10_chat": op10_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_chat": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op10_chat": OP10_SQL}
