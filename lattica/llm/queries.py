@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, neardup, token_counts, warc
+from . import bpe, chat, fingerprints, mixing, neardup, search, token_counts, toxicity, warc
 from .common import new_folder, tables
 
 #: Vocabulary files; any of the same kind will do.
@@ -38,11 +38,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, tables(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(tables(spark, sf_dir, "documents"), WORD_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(tables(spark, sf_dir, "embeddings"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
@@ -93,7 +103,7 @@ FROM g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op7_token_counts": op7_token_counts, "op10_chat": op10_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op9_nearest": op9_nearest, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
