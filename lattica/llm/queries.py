@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, neardup, search, token_counts, toxicity, warc
+from . import bpe, chat, fingerprints, mixing, neardup, search, shards, token_counts, toxicity, warc
 from .common import new_folder, tables
 
 #: Vocabulary files; any of the same kind will do.
@@ -49,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_round_trip(tables(spark, sf_dir, "documents"), new_folder(spark, "token-shards"), BYTE_BPE)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(tables(spark, sf_dir, "embeddings"))
 
@@ -103,7 +107,7 @@ FROM g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op9_nearest": op9_nearest, "op10_chat": op10_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_token_shards": op8_token_shards, "op9_nearest": op9_nearest, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
