@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .common import ship_package
+from .common import materialise, ship_package
 
 _BREAK = "\r\n"
+#: Revisits (some 60 bytes each) up to which their table is broadcast.
+MOST_BROADCAST = 100_000
 #: Alphabet of RFC 4648 base32.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -34,16 +36,19 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     """Writes a record per row under `path`, on any file system that Spark knows.
 
     Of rows with equal payloads of at least `least` bytes, that with the smallest key is a response and the others are
-    revisits that name it and carry no payload. Null payloads are empty; rows with equal key and payload are one
-    response and revisits of it, rows without a key are always responses. Line breaks in a URL become blanks, a null URL is
+    revisits that name it and carry no payload. Null payloads are empty; repeated rows are responses, each
+    of them, and rows without a key are always responses. Line breaks in a URL become blanks, a null URL is
     urn:page:<key>. A record ends with two line breaks: the text writer's line separator.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h"))
     digested = rows.withColumn("n", F.octet_length("h").cast("long")).withColumn("d", base32_sha1(F.col("h")))
-    first = digested.where(F.col("n") >= least).groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("d").alias("fd"), "first")
-    joined = digested.join(first, F.col("d") == F.col("fd"), "left")
-    revisit = (F.col("n") >= least) & F.col("first").isNotNull() & (F.col("k") != F.col("first"))
-    revisit = F.coalesce(revisit, F.lit(False))
+    light = digested.where(F.col("n") >= least).select("k", "d")
+    first = light.groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    again = materialise(light.join(first, "d").where("k != first").select(F.col("k").alias("ak"), F.col("d").alias("ad"), "first").distinct(), "revisits")
+    # payloads are shuffled only where there are many revisits, which then carry none
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+    joined = digested.join(again, (F.col("k") == F.col("ak")) & (F.col("d") == F.col("ad")), "left")
+    revisit = F.col("first").isNotNull() & (F.col("n") >= least)
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(_HTTP), F.col("h")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_BREAK))
     uri = F.regexp_replace(F.coalesce(F.col("u"), F.concat(F.lit("urn:page:"), F.col("k").cast("string")), F.lit("urn:page:none")), r"[\r\n]", " ")
