@@ -1,0 +1 @@
+"""Nothing here yet: the graphs are static, and no operator has a notion of time."""
