@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices
+from .common import materialise, ship_package, slices
 
 _LOWEST = -(1 << 63)
+#: Repeated digests (some 50 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 500_000
 
 
 def canonical(text: str) -> bytes:
@@ -50,25 +52,36 @@ def _unzip(z: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(z).decode()
 
 
-def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """fingerprint, check, class_id: a row per distinct canonical text; class_id is its smallest key.
-
-    `check` is the SHA-256 of the canonical bytes, which tells colliding digests apart in joins. Null texts are empty.
-    Copies are merged before the shuffle, so a hot group is one row per task.
-    """
-
+def _forms(with_form: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = _zip()
         for batch in slices(batches, "text"):
             forms = [canonical(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("key"), pa.array([digest(x) for x in forms], pa.string()),
-                pa.array([hashlib.sha256(x).digest() for x in forms], pa.binary()), pa.array([zip_.compress(x) for x in forms], pa.binary()),
-            ], ["key", "fingerprint", "check", "form"])
+            columns, names = [batch.column("key"), pa.array([digest(x) for x in forms], pa.string())], ["key", "fingerprint"]
+            if with_form:
+                columns += [pa.array([hashlib.sha256(x).digest() for x in forms], pa.binary()), pa.array([zip_.compress(x) for x in forms], pa.binary())]
+                names += ["check", "form"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
 
+def exact_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """fingerprint, check, class_id: a row per canonical text that several rows may have; class_id is its smallest key.
+
+    Digests are counted first; only texts whose digest repeats can be equal to another, and only they are shuffled and
+    compared. Where such digests are too many to broadcast, all texts are compared. `check` is the SHA-256 of the
+    canonical bytes, which tells colliding digests apart in joins. Null texts are empty. Copies are merged before the
+    shuffle, so a hot group is one row per task.
+    """
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fingerprint string, check binary, form binary")
-    return rows.groupBy("fingerprint", "check", "form").agg(F.min("key").alias("class_id")).select("fingerprint", "check", "class_id")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    counts = rows.mapInArrow(_forms(False), "key long, fingerprint string").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    repeated = materialise(counts.where("n > 1").select("fingerprint"), "repeated")
+    forms = rows.mapInArrow(_forms(True), "key long, fingerprint string, check binary, form binary")
+    if repeated.count() <= MOST_BROADCAST:
+        forms = forms.join(F.broadcast(repeated), "fingerprint", "left_semi")
+    return forms.groupBy("fingerprint", "check", "form").agg(F.min("key").alias("class_id")).select("fingerprint", "check", "class_id")
 
 
 def _bucketed(bounds: np.ndarray, guests: dict[int, int], heads: dict[int, int]):
@@ -154,4 +167,4 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = dealt.sortWithinPartitions("bucket", "guest", F.desc("key")).mapInArrow(_compare, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, check binary")
     classes = exact_classes(docs, key, text).withColumnRenamed("fingerprint", "f").withColumnRenamed("check", "c")
     joined = rows.join(classes, (F.col("fingerprint") == F.col("f")) & (F.col("check") == F.col("c")), "left")
-    return joined.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
+    return joined.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("class_id", "key").alias("class_id"))
