@@ -20,9 +20,9 @@ from .common import materialise, ship_package
 #: Rows that the tree is fitted to; rows aimed at in a leaf; children of a node; leaves at most.
 SAMPLE, LEAF_ROWS, BRANCHES, MOST_LEAVES = 20_000, 200, 8, 4096
 #: Queries that calibrate, and the share of their true neighbours that must be found.
-CALIBRATE, RECALL = 64, 0.98
-#: Index rows that a task holds at once.
-BLOCK = 2048
+CALIBRATE, RECALL = 64, 0.95
+#: Index rows that a task holds at once, and queries whose best rows it holds before it passes them on.
+BLOCK, HELD = 2048, 50_000
 
 
 def usable(vector: Column) -> Column:
@@ -116,6 +116,21 @@ def _nearest(block_ids: np.ndarray, block: np.ndarray, query: int, point: np.nda
     return block_ids[rows], d[rows]
 
 
+def _better(one: tuple[np.ndarray, np.ndarray] | None, two: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of both, without doubles."""
+    if one is None:
+        return two
+    ids, first = np.unique(np.concatenate([one[0], two[0]]), return_index=True)
+    d = np.concatenate([one[1], two[1]])[first]
+    rows = np.lexsort((ids, d))[:k]
+    return ids[rows], d[rows]
+
+
+def _passed_on(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    queries = np.repeat(np.fromiter(best, np.int64), [len(x) for x, _ in best.values()])
+    return pa.RecordBatch.from_arrays([pa.array(queries), *[pa.array(np.concatenate([x[c] for x in best.values()])) for c in range(2)]], ["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose key is divisible by `every`.
 
@@ -182,10 +197,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, block = None, [], None
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             place = np.stack([batch.column(c).to_numpy() for c in ("leaf", "block", "kind")], 1)
             ids, points = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            found = []
             edges = np.concatenate([[0], np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1, [len(ids)]]) if len(ids) else []
             for a, b in zip(edges, edges[1:], strict=False):
                 where = tuple(place[a][:2])
@@ -198,10 +213,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
                 if block is None:
                     block = (np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])) if held else (np.empty(0, np.int64), np.empty((0, points.shape[1])))
                 for i in range(a, b):
-                    near, d = _nearest(*block, ids[i], points[i], k)
-                    found.append((np.full(len(near), ids[i]), near, d))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                    best[ids[i]] = _better(best.get(ids[i]), _nearest(*block, ids[i], points[i], k), k)
+            if len(best) >= HELD:
+                yield _passed_on(best)
+                best = {}
+        if best:
+            yield _passed_on(best)
 
     hits = both.mapInArrow(matched, "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
