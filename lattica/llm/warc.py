@@ -106,9 +106,11 @@ class _Reader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         scheme = self.path.split("://")[0] if "://" in self.path else "file"
         files = sorted(x.path for x in found if x.is_file and x.size and not x.base_name.startswith(("_", ".")))
-        return [_File(f"{scheme}://{x}") for x in files]
+        return [_File(f"{scheme}://{x}") for x in files] or [_File("")]  # Spark wants a partition
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        if not partition.uri:
+            return
         store, path = _open(partition.uri)
         with store.open_input_file(path) as raw:
             yield from records(raw, self.wanted, self.payload)
