@@ -22,6 +22,8 @@ from .common import materialise, ship_package, slices
 
 #: Tokens of a sequence, sequences of a shard, Feistel rounds; what fills up a partition's last sequence.
 LENGTH, PER_SHARD, ROUNDS, FILL = 2048, 4096, 6, 65535
+#: Tasks that read shards at most.
+MOST_READERS = 10_000
 
 
 def _round(x: np.ndarray, key: int, i: int) -> np.ndarray:
@@ -47,16 +49,16 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _tokens(ranks: dict[bytes, int], end: int):
+def _tokens(ranks: dict[bytes, int]):
+    """Lists of ids of the texts of each batch."""
     import public_tokenizers
     import tiktoken
 
     encoding = tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[list[int]]]:
         for batch in slices(batches, "text"):
-            found = [np.array([*encoding.encode_ordinary(x or ""), end], np.uint16) for x in batch.column("text").to_pylist()]
-            yield np.concatenate(found), np.array([len(x) for x in found])
+            yield (encoding.encode_ordinary(x or "") for x in batch.column("text").to_pylist())
 
     return run
 
@@ -82,7 +84,7 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 2024022
     texts = docs.select(F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(n.sum()) for _, n in _tokens(ranks.value, end)(batches))
+        total = sum(len(x) + 1 for found in _tokens(ranks.value)(batches) for x in found)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], ["part", "tokens"])
 
     totals = {r.part: r.tokens for r in texts.mapInArrow(count, "part long, tokens long").collect()}  # a row per partition
@@ -94,7 +96,8 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 2024022
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         at, seen, rest = first.get(part, 0), 0, np.empty(0, np.uint16)
-        for tokens, _ in _tokens(ranks.value, end)(batches):
+        for found in _tokens(ranks.value)(batches):
+            tokens = np.concatenate([np.array([*x, end], np.uint16) for x in found])
             seen += len(tokens)
             rest = np.concatenate([rest, tokens])
             whole = len(rest) // length
@@ -171,7 +174,7 @@ def read_sequences(shards: DataFrame, start: int = 0, length: int = LENGTH, with
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     found = shards.where(F.col("first_slot") + F.col("sequences") > start).select("shard", "first_slot", "sequences", "uri")
-    return found.repartition("shard").mapInArrow(run, "slot long, shard long, n_tokens long, ids_sha256 string" + ", ids array<int>" * with_ids)
+    return found.repartition(max(1, min(MOST_READERS, found.count())), "shard").mapInArrow(run, "slot long, shard long, n_tokens long, ids_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def shard_round_trip(docs: DataFrame, path: str, ranks_path: str, **options) -> DataFrame:
