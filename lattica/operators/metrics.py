@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a missing run, and one that a framework can't do, count as in tables of timings.
 MISSING, UNSUPPORTED = 0.0, 1e-16
 
 
+def task_records(df: DataFrame) -> DataFrame:
+    """task_id, begin_ns, end_ns, n_rows: when each task of a plan's last stage began and ended to read its rows, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began = time.time_ns()
+        rows = sum(b.num_rows for b in batches)
+        context = TaskContext.get()
+        yield pa.RecordBatch.from_pylist([{"task_id": context.partitionId(), "begin_ns": began, "end_ns": time.time_ns(), "n_rows": rows}])
+
+    return df.mapInArrow(run, "task_id long, begin_ns long, end_ns long, n_rows long")
+
+
+def event_log_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task_id, stage, executor, begin_ns, end_ns of the finished tasks in a Spark event log."""
+    ends = spark.read.text(path).where(F.col("value").contains('"SparkListenerTaskEnd"'))
+    field = lambda p: F.get_json_object("value", p)
+    at = "$['Task Info']"
+    return ends.select(
+        field(f"{at}['Task ID']").cast("long").alias("task_id"), field("$['Stage ID']").cast("long").alias("stage"), field(f"{at}['Executor ID']").alias("executor"),
+        (field(f"{at}['Launch Time']").cast("long") * 1_000_000).alias("begin_ns"), (field(f"{at}['Finish Time']").cast("long") * 1_000_000).alias("end_ns"),
+    )
+
+
 def balance(timers: DataFrame, slots: int) -> DataFrame:
     """balanced, actual: busy time over slots, and from the first begin to the last end, of timers(begin_ns, end_ns)."""
     return timers.agg((F.sum(F.col("end_ns") - F.col("begin_ns")) / slots).alias("balanced"), (F.max("end_ns") - F.min("begin_ns")).alias("actual"))

@@ -47,7 +47,7 @@ E = f"""{N}, e AS (SELECT row_number() OVER (ORDER BY dst, src) - 1 AS eid, dst,
 
 
 def _x(width: int = fx.WIDTH, name: str = "x") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT vec_id AS v, unnest(range(len(embedding)))::BIGINT AS k, round(unnest(embedding)::DOUBLE * 1024) / 1024 AS x FROM embeddings) t WHERE k < {width})"
+    return f"{name} AS (SELECT * FROM (SELECT vec_id AS v, unnest(range(len(embedding)))::BIGINT AS k, round(unnest(embedding)::DOUBLE * 1024) / 1024 + 0.0 AS x FROM embeddings) t WHERE k < {width})"
 
 
 def _w(inputs: int, outputs: int, name: str = "w", formula: str = "((i * 31 + o * 17) % 23 - 11) / 16.0e0") -> str:
@@ -716,6 +716,16 @@ def load_balance(spark, d):
     return metrics.balance(_timers(spark, d), 80)
 
 
+@query()
+def spmm_timed(spark, d):
+    """Busy time over slots against wall time, of plain sums and of sums by task."""
+    x, v = fx.features(spark, d), fx.vertices(spark, d)
+    plain = metrics.task_records(aggregate.spmm(fx.plain_edges(spark, d), x, v, fx.WIDTH))
+    grouped = metrics.task_records(aggregate.spmm_tasks(_tasked(spark, d), x, v, fx.WIDTH))
+    slots = spark.sparkContext.defaultParallelism
+    return metrics.balance(plain, slots).withColumn("plan", F.lit("plain")).unionByName(metrics.balance(grouped, slots).withColumn("plan", F.lit("grouped")))
+
+
 @query(_with("SELECT task_id, slot, end_ns FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY end_ns DESC, task_id) AS rn FROM tm) t WHERE rn <= 4", TIMERS))
 def last_tasks(spark, d):
     return metrics.last_by_slot(_timers(spark, d), 4).select("task_id", "slot", "end_ns")
