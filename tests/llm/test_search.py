@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from lattica.llm import search
+
+SCHEMA = "vec_id long, embedding array<float>, leaf int"
+
+
+def brute(rows, k, every=100):
+    usable = {i: np.array(v, np.float32).astype(float) for i, v in rows if v is not None and i is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in usable:
+        if q % every == 0:
+            d = sorted((float(np.sqrt(((usable[i] - usable[q]) ** 2).sum())), i) for i in usable if i != q)
+            out[q] = d[:k]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 8)) * 3
+    found = [(i, [float(x) for x in (centres[i % 30] + rng.normal(size=8) * 0.7).astype(np.float32)]) for i in range(4000)]
+    same = found[100][1]
+    found += [(10_000 + i, same) for i in range(2000)]  # a common vector
+    return [*found, (20_000, None), (20_100, [0.0] * 8), (20_200, [float("nan")] + [1.0] * 7), (20_300, [None] + [1.0] * 7), (20_400, [float("inf")] * 8), (20_500, [1.0] * 5), (None, [1.0] * 8)]
+
+
+def test_recall_and_scores(spark, rows):
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).repartition(5)
+    want = brute(rows, 10)
+    got: dict = {}
+    for r in search.nearest(frame).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    assert set(got) == set(want)
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 11)) and [(s, i) for _, s, i in found] == sorted((s, i) for _, s, i in found)
+        truth = {i for _, i in want[q]}
+        hit += len(truth & {i for _, _, i in found})
+        byid = {i: d for d, i in want[q]}
+        assert all(s == pytest.approx(byid[i], abs=1e-12) for _, s, i in found if i in byid)
+    assert hit / (10 * len(want)) >= 0.9
+    assert [i for _, _, i in got[100]][:10] == list(range(10_000, 10_010))  # ties go to the smaller id, of thousands
+
+
+def test_small_blocks_find_the_same(spark, rows, monkeypatch):
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows[:1500]], SCHEMA)
+    one = sorted(map(tuple, search.nearest(frame).collect()))
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "HELD", 1)
+    assert sorted(map(tuple, search.nearest(frame).collect())) == one
+
+
+def test_few_rows(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (9, [1.0, 0.0], 1)], SCHEMA)
+    assert [(r.rank, r.vec_id, round(r.score, 6)) for r in search.nearest(few).orderBy("rank").collect()] == [(1, 9, 0.0), (2, 7, 1.414214)]
+    assert search.nearest(few.where("vec_id = 0")).count() == 0
+    assert search.nearest(few.where("vec_id = 5")).count() == 0
+    assert search.nearest(few.where("vec_id > 0")).count() == 0
+
+
+def test_tree_visits_every_leaf_once():
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(500, 4))
+    tree = search.Tree()
+    tree.add(points, 20, rng)
+    tree.finish()
+    seen = list(tree.visit(points[3]))
+    assert sorted(seen) == list(range(tree.leaves)) and seen[0] == tree.assign(points)[3]
