@@ -14,16 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_package, slices
+from .common import materialise, released, ship_package, slices
 from .components import components
 
 #: SetSketch: base, rate, 16-bit registers; bands x rows of them. At similarity 0.75 a pair shares no band with 5e-6.
 BASE, RATE, BANDS, ROWS = 1.001, 20.0, 32, 4
 M = BANDS * ROWS
-#: A pair is dropped if similarity at the threshold is e^-SURE as likely as the best one.
-SURE = 20.0
+#: A pair is dropped if no similarity from the threshold up is e^-SURE as likely as the best one.
+SURE = 10.0
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-MOST_WORDS = 400_000
+#: Word hashes that a task remembers; members and shingles of a block; keys (8 bytes each) that may be broadcast.
+MOST_WORDS, BLOCK, MOST_SHINGLES, MOST_BROADCAST = 300_000, 2048, 2_000_000, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,18 +42,18 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
+def shingles(text: str | None, width: int = 5, known: _Words | None = None) -> np.ndarray:
     """Sorted distinct hashes of the shingles: A-Z lowered, words cut at blanks and 09-0D; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > MOST_WORDS:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = _Words() if known is None else known
+    if len(known) > MOST_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - n + 1, np.uint64(n))
@@ -101,39 +102,26 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold
     """Which pairs of sketches may reach the threshold; pairs whose sizes rule it out never do."""
     more, less = (a > b).sum(1), (a < b).sum(1)
     top = np.minimum(n, m) / np.maximum(n, m)
-    grid = np.linspace(0, 1, 65)[None, :] * top[:, None]
-    best = log_likelihood(grid, more[:, None], less[:, None], n[:, None], m[:, None]).max(1)
-    at = log_likelihood(np.minimum(threshold, top), more, less, n, m)
-    above = log_likelihood(np.minimum((threshold + 1) / 2, top), more, less, n, m)
-    return (top >= threshold - 1e-12) & (np.maximum(at, above) >= best - SURE)
+    grid = np.linspace(0, 1, 33)[None, :]
+    here = lambda j: log_likelihood(j, more[:, None], less[:, None], n[:, None], m[:, None]).max(1)
+    enough = here(np.minimum(threshold, top)[:, None] + grid * np.maximum(top - threshold, 0)[:, None])
+    return (top >= threshold - 1e-12) & (enough >= here(grid * top[:, None]) - SURE)
 
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        known = _Words()
         for batch in slices(batches, "text", 2_000_000):
-            sets = [shingles(x, width) for x in batch.column("text").to_pylist()]
+            sets = [shingles(x, width, known) for x in batch.column("text").to_pylist()]
             registers = sketches(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([r.astype("<u2").tobytes() for r in registers], pa.binary()),
             ], ["key", "n", "same", "sketch"])
 
-    return run
-
-
-def _screen(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, M) for c in ("sa", "sb"))
-            n, m = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            kept = pa.array(likely(a, b, n, m, threshold))
-            yield batch.select(["a", "b"]).filter(kept)
-
-    return run
+    return released(run)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,48 +132,98 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([zip_.compress((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())], ["key", "z"])
 
 
-def _confirm(width: int, percent: int):
+class _Block:
+    """Members of a bucket: keys, shingles, parts (components so far, if known), sketches."""
+
+    def __init__(self, keys: tuple[int, ...], sets: tuple[np.ndarray, ...], parts: tuple[int | None, ...]):
+        self.keys, self.sets, self.parts = keys, sets, np.array([-1 if p is None else p for p in parts])
+        self.n = np.array([len(s) for s in self.sets])
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+        self.vocabulary, self.flat = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.sketch = sketches(list(self.sets))
+
+    def linked(self, own: np.ndarray, sketch: np.ndarray, rows: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the rows whose sets are similar enough to a set: sketches first, then full sets."""
+        if not len(rows):
+            return rows
+        n = np.full(len(rows), float(len(own)))
+        rows = rows[likely(np.broadcast_to(sketch, (len(rows), M)), self.sketch[rows], n, self.n[rows].astype(float), percent / 100)]
+        if not len(rows):
+            return rows
+        mark = np.zeros(len(self.vocabulary), bool)
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        mark[at[self.vocabulary[at] == own]] = True
+        if len(rows) * 4 < len(self.n):
+            both = np.array([np.count_nonzero(mark[self.flat[self.starts[r] : self.starts[r + 1]]]) for r in rows])
+        else:
+            both = np.add.reduceat(mark[self.flat].astype(np.int64), self.starts[:-1])[rows]
+        return rows[100 * both >= percent * (len(own) + self.n[rows] - both)]
+
+
+def _inside(block: _Block, percent: int) -> Iterator[tuple[int, int]]:
+    """A forest of a block's links. Each member in turn meets the later ones that aren't in its component yet: a tight
+    group costs one row of comparisons, and only documents that aren't alike cost all pairs, of which none becomes a row."""
+    part = np.arange(len(block.n))
+    for i in range(len(block.n) - 1):
+        if (part == part[0]).all():
+            return
+        later = np.arange(i + 1, len(block.n))
+        for j in block.linked(block.sets[i], block.sketch[i], later[part[later] != part[i]], percent).tolist():
+            if part[i] != part[j]:
+                yield block.keys[i], block.keys[j]
+                part[part == part[j]] = part[i]
+
+
+def _visit(block: _Block, key: int, part: int, own: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """A link of a visitor to each other part that it reaches in a block."""
+    rows = block.linked(own, sketches([own])[0], np.flatnonzero(block.parts != part), percent)
+    for j in np.unique(block.parts[rows], return_index=True)[1]:
+        yield key, block.keys[rows[j]]
+
+
+def _examine(width: int, percent: int, visits: bool):
+    """Links from rows by (band, salt): those inside each block (kind 0), or those of visitors (kind 1) to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unzip, last = zstandard.ZstdDecompressor(), (None, None)
+        unzip, known = zstandard.ZstdDecompressor(), _Words()
+        at, held, block, found = None, [], None, []
         for batch in batches:
-            kept = []
-            for a, za, zb in zip(*(batch.column(c).to_pylist() for c in ("a", "za", "zb")), strict=True):
-                if last[0] != (a, za):
-                    last = ((a, za), shingles(unzip.decompress(za).decode(), width))
-                x, y = last[1], shingles(unzip.decompress(zb).decode(), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough. Sketches first; then texts, by one end and the other."""
-    one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(two, "b").join(one, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    left = materialise(sized.mapInArrow(_screen(percent / 100), "a long, b long"), "likely")
-    ends = left.select(F.col("a").alias("key")).unionByName(left.select(F.col("b").alias("key"))).distinct()
-    texts = materialise(docs.join(ends, "key", "left_semi").mapInArrow(_packed, "key long, z binary"), "texts")
-    with_b = left.join(texts.select(F.col("key").alias("b"), F.col("z").alias("zb")), "b")
-    with_both = with_b.join(texts.select(F.col("key").alias("a"), F.col("z").alias("za")), "a")
-    return materialise(with_both.mapInArrow(_confirm(width, percent), "a long, b long").distinct(), "confirmed")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 4) -> DataFrame:
+            for band, salt, kind, key, part, z in zip(*(batch.column(c).to_pylist() for c in ("band", "salt", "kind", "key", "part", "z")), strict=True):
+                if (band, salt) != at:
+                    if held and not visits:
+                        found += _inside(_Block(*zip(*held, strict=True)), percent)
+                    at, held, block = (band, salt), [], None
+                own = shingles(unzip.decompress(z).decode(), width, known)
+                if kind == 0:
+                    held.append((key, own, part))
+                elif held:
+                    block = block or _Block(*zip(*held, strict=True))
+                    found += _visit(block, key, part, own, percent)
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        if held and not visits:
+            found += _inside(_Block(*zip(*held, strict=True)), percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return released(run)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, most: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id, kept of each row; two documents are linked if 100 * |A n B| >= percent * |A u B|.
 
     component_id is the smallest key that a row reaches over links, itself included; kept says that it is the row's
     own. Texts without words and null texts have an empty set and no links. Equal sets are one vertex, so copies cost
-    nothing beyond their sketch; rows that share a key are one vertex too, and a row without a key gets its set's component or
-    null. Other columns are ignored; an empty table gives no rows.
+    nothing beyond their sketch; rows that share a key are one vertex too, and a row without a key gets its set's
+    component or null. Other columns are ignored; an empty table gives no rows.
 
-    Every pair of distinct sets that shares a band is either confirmed, refuted, or already in one component. In a
-    first round all members of a band's bucket meet one of them, its centre; buckets that still hold several components
-    meet further centres while that saves pairs, and then all pairs across components are tried.
+    Distinct sets that share a band meet in its bucket (buckets of the same members are one). Buckets are cut into
+    blocks of at most `most` members or MOST_SHINGLES shingles, each with the bucket's smallest key; a block is
+    examined whole. Where a bucket has several blocks, members outside its largest component then visit the other
+    blocks. So every pair that shares a band is confirmed, refuted or already in one component, and only links become rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -194,39 +232,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sets = sketched.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     sets = materialise(sets.where("key is not null"), "sets")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * ROWS * 2 + 1, ROWS * 2)) for i in range(BANDS)])
-    rows = sets.select("key", F.explode(bands).alias("band"))
-    shared = rows.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = materialise(rows.join(shared.select("band", "centre"), "band"), "members")
-    tried = materialise(members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = _verified(tried, sets, base, width, percent)
+    rows = sets.select("key", "n", F.explode(bands).alias("band"))
+    shared = rows.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("mark"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    shared = shared.groupBy("centre", "last", "mark", "size", "shingles").agg(F.min("band").alias("band"))
+    blocks = F.greatest(F.ceil(F.col("size") / most), F.ceil(F.col("shingles") / MOST_SHINGLES)).cast("long")
+    shared = materialise(shared.select("band", "centre", blocks.alias("blocks")), "buckets")
+    members = materialise(rows.select("band", "key").join(shared, "band"), "members")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long")
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    texts = materialise(_only(base, members.select("key").distinct()).mapInArrow(_packed, "key long, z binary"), "texts")
+
+    def examined(placed: DataFrame, visits: bool) -> DataFrame:
+        dealt = placed.join(texts, "key").repartition("band", "salt").sortWithinPartitions("band", "salt", "kind")
+        return materialise(dealt.mapInArrow(_examine(width, percent, visits), "a long, b long"), "links")
+
+    placed = members.select("band", "key", F.explode(F.when(F.col("key") == F.col("centre"), everywhere).otherwise(F.array(own))).alias("salt"))
+    links = examined(placed.select("band", "salt", F.lit(0).alias("kind"), "key", F.lit(None).cast("long").alias("part")), False)
     labels = components(links)
-    for turn in range(rounds + 1):
-        named = members.join(labels.withColumnRenamed("v", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part"))
-        parts = named.groupBy("band", "part").agg(F.count("*").alias("rows"))
-        open_ = parts.groupBy("band").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max("rows").alias("most")).where("parts > 1")
-        open_ = materialise(open_, "open")
-        todo = open_.agg(F.sum(F.col("rows") * (F.col("rows") - F.col("most"))), F.sum("rows")).head()
-        if not todo[0]:
-            break
-        active = materialise(named.join(open_.select("band", "main"), "band"), "active")
-        other = active.select("band", F.col("key").alias("b"), F.col("part").alias("part_b"))
-        minor = active.where("part != main").select("band", F.col("key").alias("a"), F.col("part").alias("part_a"), "main")
-        whole = turn == rounds or todo[0] <= 8 * todo[1] + 1_000_000
-        if not whole:
-            minor = minor.groupBy("band").agg(F.max_by(F.struct("a", "part_a"), F.xxhash64("a", F.lit(turn))).alias("x"), F.first("main").alias("main")).select("band", "x.a", "x.part_a", "main")
-        pairs = minor.join(other, "band").where("part_a != part_b" + " and (part_b = main or a < b)" * whole)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if whole:
-                break
-            continue
-        found = _verified(fresh, sets, base, width, percent)
-        links, tried = links.unionByName(found), tried.unionByName(fresh)
+    cut = members.where("blocks > 1")
+    if not cut.isEmpty():
+        named = materialise(cut.join(labels.withColumnRenamed("v", "key"), "key", "left").select("band", "key", "blocks", F.coalesce("component", "key").alias("part")), "named")
+        parts = named.groupBy("band", "part").agg(F.count("*").alias("rows")).groupBy("band").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        named = named.join(parts.select("band", "main"), "band")
+        residents = named.select("band", own.alias("salt"), F.lit(0).alias("kind"), "key", "part")
+        visitors = named.where("part != main").select("band", F.explode(everywhere).alias("salt"), F.lit(1).alias("kind"), "key", "part")
+        links = links.unionByName(examined(residents.unionByName(visitors), True))
         labels = components(links)
-        if whole:
-            break
     named = sets.select("same", "key").join(labels.withColumnRenamed("v", "key"), "key", "left").select("same", F.coalesce("component", "key").alias("component"))
     out = sketched.select("key", "n", "same").join(named, "same", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with one of the keys; texts are shuffled only where there are too many keys to broadcast."""
+    keys = materialise(keys, "keys")
+    return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "key", "left_semi")
