@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices
+from .common import released, ship_package, slices
 from .token_counts import WHITE
 
 #: The split of GPT-2, with White_Space spelled out: `regex` also counts 1C to 1F as \s.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
-#: Entries after which a worker's table of encoded words starts anew; results don't depend on it.
+#: Entries after which a task's table of encoded words starts anew; results don't depend on it.
 MOST_KNOWN = 500_000
 
 #: Longest segment, in bytes, whose tokens are kept as one list between the rounds.
@@ -105,7 +105,7 @@ class Encoder:
         import duckdb
 
         self.ranks, self.known = ranks, {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
         ids = sorted(ranks.values())
         if ids[-1] >= 1 << 16:
             raise ValueError("pair keys hold ids below 65,536")
@@ -230,6 +230,7 @@ def encoder(ranks: dict[bytes, int]) -> Encoder:
 def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
+        own.known.clear()
         for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n, ids_hash, text_hash, ids = [], [], [], []
@@ -245,8 +246,9 @@ def _encode(ranks, with_ids: bool):
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.known.clear()
 
-    return run
+    return released(run)
 
 
 def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:

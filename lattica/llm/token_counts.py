@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices
+from .common import released, ship_package, slices
 
 #: White_Space of Unicode. str.split() also cuts at 1C to 1F, which tokenizers keep inside words.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD = re.compile("[\x1c-\x1f]")
 _RUN = re.compile(f"[{WHITE}]+")
-#: Entries after which a worker's table of counts starts anew; counts don't depend on it.
+#: Entries after which a task's table of counts starts anew; counts don't depend on it.
 MOST_KNOWN = 400_000
 _loaded: dict[int, object] = {}
 
@@ -38,7 +38,7 @@ def _tokenizer(spec: str):
         t.no_truncation()
         t.no_padding()
         _loaded.clear()
-        _loaded[key] = (t, {})
+        _loaded[key] = t
     return _loaded[key]
 
 
@@ -50,7 +50,7 @@ def _learn(tokenizer, known: dict[str, int], words: list[str]) -> None:
 
 def _counter(spec, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(spec.value)
+        tokenizer, known = _tokenizer(spec.value), {}
         for batch in slices(batches, text):
             sizes, per_document, fresh = [], [], set()
             for value in batch.column(text):
@@ -64,7 +64,7 @@ def _counter(spec, text: str):
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    return run
+    return released(run)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     The tokenizer must drop white space, as word tokenizers do: then a text's tokens are those of its runs between
     white space. A null text counts as empty (0 bytes, 0 tokens); a null key stays null; repeated rows are counted one
-    by one; other columns are ignored. One pass without a shuffle; a worker holds MOST_KNOWN counts and a few MB of text.
+    by one; other columns are ignored. One pass without a shuffle; a task holds MOST_KNOWN counts and a few MB of text.
     """
     spark = docs.sparkSession
     ship_package(spark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, slices
+from .common import released, ship_package, slices
 
 BUCKETS, WIDTH, WINDOW, STRIDE = 1 << 18, 8, 16, 8
 GRAMS = (3, 4, 5, 6)
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scorer(batch.column("text").to_pylist()))], ["key", "score"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(released(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -248,4 +248,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         for batch in slices(batches, text):
             yield batch.filter(pa.array(scorer(batch.column(text).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
