@@ -20,7 +20,7 @@ from .common import materialise, ship_package
 #: Rows that the tree is fitted to; rows aimed at in a leaf; children of a node; leaves at most.
 SAMPLE, LEAF_ROWS, BRANCHES, MOST_LEAVES = 20_000, 200, 8, 4096
 #: Queries that calibrate, and the share of their true neighbours that must be found.
-CALIBRATE, RECALL = 64, 0.95
+CALIBRATE, RECALL = 64, 0.97
 #: Index rows that a task holds at once, and queries whose best rows it holds before it passes them on.
 BLOCK, HELD = 2048, 50_000
 
