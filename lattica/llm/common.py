@@ -43,13 +43,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table of which nothing is read any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Gives executors this package, so that they need no copy of their own. Once a session."""
     sc = spark.sparkContext
@@ -63,6 +56,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._lattica_shipped = True
 
 
+def open_store(uri: str):
+    """pyarrow's file system for a URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches where a text column passes so many bytes, so that Python lists of words stay small."""
     for batch in batches:
@@ -81,13 +81,16 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A worker serves many tasks: what a task has freed goes back to the system when it ends."""
+    """A worker serves many tasks: what a task has freed goes back to the system when it ends. Meanwhile the cycle
+    collector rests; the operators make no cycles, and it would scan their word tables again and again."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

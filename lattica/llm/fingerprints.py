@@ -21,6 +21,8 @@ from .common import materialise, ship_package, slices
 _LOWEST = -(1 << 63)
 #: Repeated digests (some 50 bytes each) up to which they are broadcast.
 MOST_BROADCAST = 500_000
+#: Ranges of keys at most; their bounds and first keys are known to all tasks.
+MOST_RANGES = 10_000
 
 
 def canonical(text: str) -> bytes:
@@ -145,14 +147,14 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The next document is the one with the next smaller key; after the last comes the first, and a single document
     follows itself. Null texts are empty, a null key comes last, rows that share a key follow each other in any order.
-    Keys are cut at approximate quantiles into ranges, the first row of a range is also sent to the end of the range
+    Keys are cut at approximate quantiles into at most MOST_RANGES ranges, the first row of a range is also sent to the end of the range
     before it, and each range is read in order: one shuffle, no window, no range in one task that another could share.
     """
     spark = docs.sparkSession
     ship_package(spark)
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("key"), F.col(text).alias("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keyed.select(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).head()[0]
+    n = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = keyed.select(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * MOST_RANGES)).head()[0]
     bounds = np.array(sorted(set(found or [])), np.int64)
 
     def bucket_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import materialise, ship_package, slices
+from .common import materialise, open_store, ship_package, slices
 
 #: Tokens of a sequence, sequences of a shard, Feistel rounds; what fills up a partition's last sequence.
 LENGTH, PER_SHARD, ROUNDS, FILL = 2048, 4096, 6, 65535
@@ -63,12 +63,6 @@ def _tokens(ranks: dict[bytes, int]):
     return run
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 20240229, text: str = "text", end: int = 50256, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Writes shards under `path` (a URI that pyarrow opens) and returns a row per shard: shard, first_slot, sequences, n_tokens, sha256, uri.
 
@@ -117,7 +111,7 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 2024022
         return pa.RecordBatch.from_arrays([pa.array(own // per_shard), pa.array(own), pa.array(sizes.astype(np.int64)), pa.array(rows, pa.binary())], ["shard", "slot", "n_tokens", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open(path)
+        store, root = open_store(path)
         store.create_dir(root, recursive=True)
         now = None
         for batch in batches:
@@ -158,7 +152,7 @@ def read_sequences(shards: DataFrame, start: int = 0, length: int = LENGTH, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, first, count, uri in zip(*(batch.column(c).to_pylist() for c in ("shard", "first_slot", "sequences", "uri")), strict=True):
-                store, file = _open(uri)
+                store, file = open_store(uri)
                 skip = max(0, start - first)
                 with store.open_input_file(file) as raw:
                     raw.seek(skip * 2 * length)

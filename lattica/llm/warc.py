@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .common import materialise, ship_package
+from .common import materialise, open_store, ship_package
 
 _BREAK = "\r\n"
 #: Revisits (some 60 bytes each) up to which their table is broadcast.
@@ -70,12 +70,6 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     joined.select(record.alias("value")).write.option("lineSep", _BREAK * 2).option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class _File(InputPartition):
     def __init__(self, uri: str):
         self.uri = uri
@@ -102,7 +96,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        store, root = _open(self.path)
+        store, root = open_store(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         scheme = self.path.split("://")[0] if "://" in self.path else "file"
         files = sorted(x.path for x in found if x.is_file and x.size and not x.base_name.startswith(("_", ".")))
@@ -111,7 +105,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.uri:
             return
-        store, path = _open(partition.uri)
+        store, path = open_store(partition.uri)
         with store.open_input_file(path) as raw:
             yield from records(raw, self.wanted, self.payload)
 
