@@ -1,9 +1,9 @@
 """Byte-level BPE: a DuckDB recursive query per partition contracts pairs to the fixpoint; ordered aggregation decodes.
 
 Rows (word, position, token) join the merge table. Each round contracts each word's minimum-rank pair at its leftmost
-place. Two exact short cuts keep long words cheap: a word is cut where no vocabulary entry holds the two bytes side by
-side (no merge can cross), and all places of the pair are contracted at once where no pair with the new token ranks
-lower (then the next rounds would contract just these).
+place. Exact short cuts save rounds: a word is cut where no vocabulary entry can lie across two bytes (no merge can),
+equal segments are solved once, and in long ones all places of the pair are contracted at once where no pair with the
+new token ranks lower (then the next rounds would contract just these).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +28,8 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WH
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: Entries after which a task's table of encoded words starts anew; results don't depend on it.
 MOST_KNOWN = 500_000
+#: Of these, the first, which are the commonest, that stay for the worker's next task.
+KEPT = 100_000
 
 #: Longest segment, in bytes, whose tokens are kept as one list between the rounds.
 LISTED = 200
@@ -98,29 +101,46 @@ def words_of(text: str) -> list[str]:
     return out if out != [""] else []
 
 
+#: Bits of the tables of byte runs. Two runs that share an entry only leave a word uncut.
+_BITS = 22
+
+
+def _runs(a: np.ndarray, n: int) -> np.ndarray:
+    """A table index for each run of n bytes."""
+    h = np.zeros(max(0, len(a) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            h = (h * np.uint64(256) + a[i : len(a) - n + 1 + i].astype(np.uint64)) if len(h) else h
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
 class Encoder:
-    """Encodes distinct words of texts and remembers them: word -> (little-endian uint32 ids, decoded bytes)."""
+    """Encodes and decodes distinct words of texts; remembers their ids (little-endian uint32), and the decoded bytes of
+    those that don't decode to themselves."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.ids, self.odd = ranks, {}, {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
         ids = sorted(ranks.values())
         if ids[-1] >= 1 << 16:
             raise ValueError("pair keys hold ids below 65,536")
         left, right, merged = [], [], []
-        inside = np.zeros(1 << 16, bool)
+        self.whole = [np.zeros(1 << _BITS, bool) for _ in range(2)]  # entries of two and of three bytes
+        self.inside = np.zeros(1 << _BITS, bool)  # four bytes somewhere in an entry
         lowest: dict[int, int] = {}
         for token, rank in ranks.items():
             a = np.frombuffer(token, np.uint8).astype(np.int64)
-            inside[a[:-1] * 256 + a[1:]] = True
+            if len(a) in (2, 3):
+                self.whole[len(a) - 2][_runs(a, len(a))] = True
+            elif len(a) > 3:
+                self.inside[_runs(a, 4)] = True
             for at in range(1, len(token)):
                 if (x := ranks.get(token[:at])) is not None and (y := ranks.get(token[at:])) is not None:
                     left.append(x), right.append(y), merged.append(rank)
                     for z in (x, y):
                         lowest[z] = min(rank, lowest.get(z, rank))
-        self.inside = inside
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         twin = {m for x, y, m in zip(left, right, merged, strict=True) if x == y}
         lr = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
@@ -153,54 +173,86 @@ class Encoder:
             self._contract(part, raw, out)
         return out
 
+    def _cuts(self, flat: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where segments start: no merge crosses the other places. A merge across two bytes makes an entry that is just
+        these, or three bytes with them, or holds four bytes in a row with them."""
+        crossed = np.zeros(len(flat) + 3, bool)
+        for n, table in ((2, self.whole[0]), (3, self.whole[1]), (4, self.inside)):
+            if len(flat) >= n:
+                hit = table[_runs(flat, n)] & (word[: len(flat) - n + 1] == word[n - 1 :])
+                for i in range(n - 1):
+                    crossed[i + 1 : i + 1 + len(hit)] |= hit
+        return ~crossed[: len(flat)]
+
     def _contract(self, part: list[int], raw: list[bytes], out: list) -> None:
-        flat = np.frombuffer(b"".join(raw[i] for i in part), np.uint8).astype(np.int64)
-        word = np.repeat(np.arange(len(part), dtype=np.int64), [len(raw[i]) for i in part])
-        starts = np.ones(len(flat), bool)
-        starts[1:] = (word[1:] != word[:-1]) | ~self.inside[flat[:-1] * 256 + flat[1:]]
-        at = np.append(np.flatnonzero(starts), len(flat))
-        tokens, owner = self.byte_ids[flat], word[at[:-1]]
-        long = np.zeros(len(part), bool)
-        long[owner[np.diff(at) > LISTED]] = True
-        short = ~long[owner]
+        data = b"".join([raw[i] for i in part])
+        flat = np.frombuffer(data, np.uint8)
+        word = np.repeat(np.arange(len(part)), [len(raw[i]) for i in part])
+        starts = self._cuts(flat, word)
+        at = np.flatnonzero(starts)
+        owner, ends = word[at], [*at.tolist(), len(data)]
+        index: dict[bytes, int] = {}
+        codes = [index.setdefault(data[a:b], len(index)) for a, b in zip(ends, ends[1:], strict=False)]
+        solved = self._solve(list(index))
+        firsts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(codes)]
+        for i, a, b in zip(part, firsts, firsts[1:], strict=False):
+            if b - a == 1:
+                out[i] = solved[codes[a]]
+            else:
+                ids, texts = zip(*[solved[c] for c in codes[a:b]], strict=True)
+                out[i] = (b"".join(ids), b"".join(texts))
+
+    def _solve(self, segments: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of distinct segments, by the rounds."""
+        out: list = [None] * len(segments)
+        sizes = np.array([len(x) for x in segments])
+        tokens = self.byte_ids[np.frombuffer(b"".join(segments), np.uint8)]
+        owner = np.repeat(np.arange(len(segments)), sizes)
+        short = sizes <= LISTED
         if short.any():
-            kept = ~long[word]
-            ends = np.concatenate([[0], np.cumsum(np.diff(at)[short])])
-            init = pa.table({"w": np.flatnonzero(short), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[kept]))})
-            self._rounds(_SHORT, init, owner, part, out)
-        if long.any():
-            kept = long[word]
-            init = pa.table({"w": (np.cumsum(starts) - 1)[kept], "pos": np.arange(len(flat), dtype=np.int64)[kept], "tok": tokens[kept]})
-            self._rounds(_LONG, init, owner, part, out)
-
-    def _rounds(self, query: str, init: pa.Table, owner: np.ndarray, part: list[int], out: list) -> None:
+            ends = np.concatenate([[0], np.cumsum(sizes[short])])
+            init = pa.table({"w": np.flatnonzero(short), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[short[owner]]))})
+            self._rounds(_SHORT, init, out)
+        if not short.all():
+            kept = ~short[owner]
+            init = pa.table({"w": owner[kept], "pos": np.arange(len(tokens))[kept], "tok": tokens[kept]})
+            self._rounds(_LONG, init, out)
+        return out
+
+    def _rounds(self, query: str, init: pa.Table, out: list) -> None:
         self.db.register("init", init)
         got = self.db.sql(query + _ORDERED).to_arrow_table().combine_chunks()
         self.db.unregister("init")
-        lists, texts, words = got["ids"].chunk(0), got["bytes"].chunk(0), owner[got["w"].to_numpy()]
-        values = np.asarray(lists.values).astype("<u4").tobytes()
-        firsts = np.flatnonzero(np.diff(words, prepend=-1))
-        ends = [np.append(np.asarray(x)[:-1][firsts], np.asarray(x)[-1]).tolist() for x in (lists.offsets, np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[: len(texts) + 1])]
-        hexes = texts.buffers()[2].to_pybytes().decode()
-        for i, a, b, c, d in zip(words[firsts].tolist(), ends[0], ends[0][1:], ends[1], ends[1][1:], strict=False):
-            out[part[i]] = (values[4 * a : 4 * b], bytes.fromhex(hexes[c:d]))
+        lists, texts = got["ids"].chunk(0), got["bytes"].chunk(0)
+        values, ends = np.asarray(lists.values).astype("<u4").tobytes(), np.asarray(lists.offsets).tolist()
+        for w, a, b, text in zip(got["w"].to_pylist(), ends, ends[1:], texts.to_pylist(), strict=False):
+            out[w] = (values[4 * a : 4 * b], bytes.fromhex(text))
 
     def learn(self, words: list[str]) -> None:
-        cut = [PATTERN.findall(w) for w in words]
-        distinct = list(dict.fromkeys(p for c in cut for p in c))
-        codes = dict(zip(distinct, self.pieces(distinct), strict=True))
-        for w, c in zip(words, cut, strict=True):
-            self.known[w] = codes[c[0]] if len(c) == 1 else (b"".join(codes[p][0] for p in c), b"".join(codes[p][1] for p in c))
+        cut = list(map(PATTERN.findall, words))
+        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+        solved = self.pieces(distinct)
+        ids = dict(zip(distinct, [x for x, _ in solved], strict=True))
+        odd = {p: x for p, (_, x) in zip(distinct, solved, strict=True) if x != p.encode()}
+        self.ids.update([(w, ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))) for w, c in zip(words, cut, strict=True)])
+        if odd:
+            self.odd.update((w, b"".join(odd.get(p, p.encode()) for p in c)) for w, c in zip(words, cut, strict=True) if not odd.keys().isdisjoint(c))
+
+    def keep(self, most: int) -> None:
+        """Forgets all but the first words, which are the commonest."""
+        self.ids = dict(islice(self.ids.items(), most))
+        self.odd = {w: x for w, x in self.odd.items() if w in self.ids}
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each text."""
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        cut = [words_of(t) for t in texts]
-        self.learn([w for w in {w for c in cut for w in c} if w not in self.known])
-        for c in cut:
-            codes = [self.known[w] for w in c]
-            yield b"".join([x[0] for x in codes]), b"".join([x[1] for x in codes])
+        """Ids and decoded bytes of each text. Words that decode to their own bytes, as all do whose vocabulary holds
+        every byte, needn't be joined anew: together they are the text's bytes."""
+        if len(self.ids) > MOST_KNOWN:
+            self.keep(KEPT)
+        cut = list(map(words_of, texts))
+        self.learn(list(set(chain.from_iterable(cut)).difference(self.ids)))
+        for text, c in zip(texts, cut, strict=True):
+            plain = not self.odd or self.odd.keys().isdisjoint(c)
+            yield b"".join(map(self.ids.__getitem__, c)), text.encode() if plain else b"".join(self.odd.get(w, w.encode()) for w in c)
 
 
 def _bounded(rest: list[int], raw: list[bytes], most: int = 1_000_000) -> Iterator[list[int]]:
@@ -230,8 +282,7 @@ def encoder(ranks: dict[bytes, int]) -> Encoder:
 def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
-        own.known.clear()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 6_000_000):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n, ids_hash, text_hash, ids = [], [], [], []
             for a, b in own.texts(texts):
@@ -246,7 +297,7 @@ def _encode(ranks, with_ids: bool):
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        own.known.clear()
+        own.keep(KEPT)
 
     return released(run)
 
