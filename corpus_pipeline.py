@@ -19,15 +19,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id; documents without words all stay."""
+    """Of each group of near duplicates, the document with the smallest id; documents without words all stay, as do
+    rows without an id, and rows that share an id stay or go together."""
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: no row, one, or several equal ones."""
-    copies = mixing.mix(docs.select("doc_id", "source", "text")).select("doc_id", "copies").where("copies > 0")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Each document as often as the mix takes it: no row, one, or several equal ones. Rows that share an id, or have
+    none, are taken as often as the one of them that is taken most."""
+    copies = mixing.mix(docs.select("doc_id", "source", "text")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
