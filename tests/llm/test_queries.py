@@ -72,6 +72,11 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c", "en", None, 5), (4, "a b c", "en", "a", 5), (None, "z z", "en", "a", 3)], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    again = docs.unionByName(docs)
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.drop_near_duplicates(spark, again, str(tmp_path)).collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert all(n % 2 == 0 for n in (corpus_pipeline.mix_sources(spark, again, str(tmp_path)).groupBy("doc_id").count().toPandas()["count"]))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
