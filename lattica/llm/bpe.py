@@ -27,7 +27,7 @@ from .token_counts import WHITE
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: Entries after which a task's table of encoded words starts anew; results don't depend on it.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 350_000
 #: Of these, the first, which are the commonest, that stay for the worker's next task.
 KEPT = 100_000
 
@@ -119,10 +119,7 @@ class Encoder:
     those that don't decode to themselves."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        import duckdb
-
         self.ranks, self.ids, self.odd = ranks, {}, {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
         ids = sorted(ranks.values())
         if ids[-1] >= 1 << 16:
             raise ValueError("pair keys hold ids below 65,536")
@@ -153,11 +150,24 @@ class Encoder:
             "twin": pa.array([i in twin for i in ids]),
             "bytes": pa.array([back[i].hex() for i in ids]),
         })
-        merges = pa.table({"lr": lr, "m": np.array(merged, np.int64)})
-        for name, table in (("tokens", tokens), ("merges", merges)):
+        self.tables = {"tokens": tokens, "merges": pa.table({"lr": lr, "m": np.array(merged, np.int64)})}
+        self.open()
+
+    def open(self) -> Encoder:
+        """Starts a database with the tables; a task closes it again, since workers outlive tasks."""
+        import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
+        for name, table in self.tables.items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        return self
+
+    def close(self) -> None:
+        self.db.close()
+        self.ids = dict(islice(self.ids.items(), KEPT))
+        self.odd = {w: x for w, x in self.odd.items() if w in self.ids}
 
     def pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of distinct pieces (matches of PATTERN)."""
@@ -238,16 +248,11 @@ class Encoder:
         if odd:
             self.odd.update((w, b"".join(odd.get(p, p.encode()) for p in c)) for w, c in zip(words, cut, strict=True) if not odd.keys().isdisjoint(c))
 
-    def keep(self, most: int) -> None:
-        """Forgets all but the first words, which are the commonest."""
-        self.ids = dict(islice(self.ids.items(), most))
-        self.odd = {w: x for w, x in self.odd.items() if w in self.ids}
-
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text. Words that decode to their own bytes, as all do whose vocabulary holds
         every byte, needn't be joined anew: together they are the text's bytes."""
         if len(self.ids) > MOST_KNOWN:
-            self.keep(KEPT)
+            self.ids.clear(), self.odd.clear()
         cut = list(map(words_of, texts))
         self.learn(list(set(chain.from_iterable(cut)).difference(self.ids)))
         for text, c in zip(texts, cut, strict=True):
@@ -271,18 +276,19 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encoder(ranks: dict[bytes, int]) -> Encoder:
-    """One encoder a worker process."""
+    """A worker process keeps the tables and the commonest words of one encoder."""
     key = hash(frozenset(ranks.items()))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(ranks)
+    if key in _encoders:
+        return _encoders[key].open()
+    _encoders.clear()
+    _encoders[key] = Encoder(ranks)
     return _encoders[key]
 
 
 def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
-        for batch in slices(batches, "text", 6_000_000):
+        for batch in slices(batches, "text", 4_000_000):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n, ids_hash, text_hash, ids = [], [], [], []
             for a, b in own.texts(texts):
@@ -297,7 +303,7 @@ def _encode(ranks, with_ids: bool):
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        own.keep(KEPT)
+        own.close()
 
     return released(run)
 
@@ -318,7 +324,8 @@ def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "t
 
 def _decode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = encoder(ranks.value).db
+        own = encoder(ranks.value)
+        db = own.db
         for batch in batches:
             lists = batch.column("ids")
             db.register("given", pa.table({"row": np.arange(batch.num_rows), "ids": lists}))
@@ -330,8 +337,9 @@ def _decode(ranks):
             db.unregister("given")
             out = [None if bad else bytes.fromhex(x) for x, bad in zip(got["bytes"].to_pylist(), got["bad"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "decoded"])
+        own.close()
 
-    return run
+    return released(run)
 
 
 def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
