@@ -20,12 +20,14 @@ def to_wide(long: DataFrame) -> DataFrame:
     return ordered.select("v", F.transform("kx", lambda s: s["x"]).alias("feat"))
 
 
-def sum_vectors(rows: DataFrame, keys: list[str], column: Column, width: int, out: str = "feat") -> DataFrame:
-    """Sums a vector column by keys; map-side partial sums leave one row a key and task to shuffle."""
+def sum_vectors(rows: DataFrame, keys: list[str], column: Column, width: int, out: str = "feat", scale: Column | None = None) -> DataFrame:
+    """Sums a vector column, times a scalar one if given, by keys; map-side partial sums leave one row a key and task to shuffle."""
     if width <= WIDE:
-        held = rows.select(*keys, column.alias("__v"))
-        sums = held.groupBy(*keys).agg(*[F.sum(F.get("__v", F.lit(k))).alias(f"__{k}") for k in range(width)])
+        held = rows.select(*keys, column.alias("__v"), (F.lit(None) if scale is None else scale).alias("__s"))
+        term = lambda k: F.get("__v", F.lit(k)) if scale is None else F.col("__s") * F.get("__v", F.lit(k))
+        sums = held.groupBy(*keys).agg(*[F.sum(term(k)).alias(f"__{k}") for k in range(width)])
         return sums.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).alias(out))
+    column = column if scale is None else F.transform(column, lambda x: x * scale)
     long = rows.select(*keys, F.posexplode(column).alias("__k", "__x")).groupBy(*keys, "__k").agg(F.sum("__x").alias("__x"))
     sums = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__k", "__x"))).alias("__kx"))
     return sums.select(*keys, F.transform("__kx", lambda s: s["__x"]).alias(out))
@@ -37,10 +39,6 @@ def zero_fill(vertices: DataFrame, sums: DataFrame, width: int) -> DataFrame:
     return vertices.select("v").join(sums.select("v", "feat"), "v", "left").select("v", F.coalesce("feat", zeros).alias("feat"))
 
 
-def _scaled(weighted: bool) -> Column:
-    return F.transform("feat", lambda x: x * F.col("val")) if weighted else F.col("feat")
-
-
 def gather(edges: DataFrame, features: DataFrame) -> DataFrame:
     """Each edge with its source's vector."""
     return edges.join(features.withColumnRenamed("v", "src"), "src")
@@ -55,18 +53,13 @@ def gather_steps(edges: DataFrame, features: DataFrame) -> DataFrame:
 
 def spmm(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int, weighted: bool = True) -> DataFrame:
     """y[v] = sum of val * x[src] over the edges into v; 0 for a vertex without edges."""
-    joined = gather(edges, features)
-    if width <= WIDE and weighted:
-        sums = joined.groupBy("dst").agg(*[F.sum(F.col("val") * F.get("feat", F.lit(k))).alias(f"__{k}") for k in range(width)])
-        sums = sums.select(F.col("dst").alias("v"), F.array(*[F.col(f"__{k}") for k in range(width)]).alias("feat"))
-    else:
-        sums = sum_vectors(joined, ["dst"], _scaled(weighted), width).withColumnRenamed("dst", "v")
-    return zero_fill(vertices, sums, width)
+    sums = sum_vectors(gather(edges, features), ["dst"], F.col("feat"), width, scale=F.col("val") if weighted else None)
+    return zero_fill(vertices, sums.withColumnRenamed("dst", "v"), width)
 
 
 def spmm_tasks(tasked: DataFrame, features: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
     """The same from edges with a `task_id`: partial sums per task, then per target. Splits rows of any degree."""
-    partial = sum_vectors(gather(tasked, features), ["dst", "task_id"], _scaled(True), width)
+    partial = sum_vectors(gather(tasked, features), ["dst", "task_id"], F.col("feat"), width, scale=F.col("val"))
     return zero_fill(vertices, sum_vectors(partial, ["dst"], F.col("feat"), width).withColumnRenamed("dst", "v"), width)
 
 

@@ -58,8 +58,7 @@ def _ratio(rows: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
         sums = rows.groupBy("dst").agg(F.sum("__e").alias("__e"), *[F.sum(F.col("__e") * F.get("feat", F.lit(k))).alias(f"__{k}") for k in range(width)])
         sums = sums.select(F.col("dst").alias("v"), F.array(*[guarded_divide(F.col(f"__{k}"), F.col("__e")) for k in range(width)]).alias("feat"))
     else:
-        long = F.concat(F.array("__e"), F.transform("feat", lambda x: x * F.col("__e")))
-        both = sum_vectors(rows, ["dst"], long, width + 1)
+        both = sum_vectors(rows, ["dst"], F.concat(F.array(F.lit(1.0)), "feat"), width + 1, scale=F.col("__e"))
         tail = F.slice("feat", 2, width)
         sums = both.select(F.col("dst").alias("v"), F.transform(tail, lambda x: guarded_divide(x, F.get("feat", F.lit(0)))).alias("feat"))
     return zero_fill(vertices, sums, width)
@@ -68,8 +67,8 @@ def _ratio(rows: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
 def gat_tasks(tasked: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:
     """The same from edges with a task_id: numerators and denominators per task, then per target, then divided."""
     scored = edge_scores(tasked, attn).withColumn("__e", F.exp(leaky_relu(F.col("z"), slope)))
-    both = F.concat(F.array("__e"), F.transform("feat", lambda x: x * F.col("__e")))
-    partial = sum_vectors(gather(scored, features), ["dst", "task_id"], both, width + 1)
+    both = F.concat(F.array(F.lit(1.0)), "feat")
+    partial = sum_vectors(gather(scored, features), ["dst", "task_id"], both, width + 1, scale=F.col("__e"))
     sums = sum_vectors(partial, ["dst"], F.col("feat"), width + 1)
     divided = sums.select(F.col("dst").alias("v"), F.transform(F.slice("feat", 2, width), lambda x: guarded_divide(x, F.get("feat", F.lit(0)))).alias("feat"))
     return zero_fill(vertices, divided, width)
@@ -103,7 +102,7 @@ def gat_backward(edges: DataFrame, features: DataFrame, attn: DataFrame, grad: D
     p = divide_by_dst(scored, edge_sums(scored, "e"), "e")
     there = grad.select(F.col("v").alias("dst"), F.col("feat").alias("dout"))
     rows = gather(p, features).join(there, "dst").withColumn("g", dot(F.col("feat"), F.col("dout"), width))
-    d_feat = sum_vectors(rows, ["src"], F.transform("dout", lambda x: x * F.col("p")), width).withColumnRenamed("src", "v")
+    d_feat = sum_vectors(rows, ["src"], F.col("dout"), width, scale=F.col("p")).withColumnRenamed("src", "v")
     mean = rows.groupBy("dst").agg(F.sum(F.col("p") * F.col("g")).alias("mean"))
     dz = rows.join(mean, "dst").withColumn("dz", F.col("p") * (F.col("g") - F.col("mean")) * F.when(F.col("z") < 0, F.lit(slope)).otherwise(F.lit(1.0)))
     to = dz.groupBy(F.col("dst").alias("v")).agg(F.sum("dz").alias("d_dst"))
