@@ -88,10 +88,10 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 2024022
         n += -(-totals[part] // length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, mark = TaskContext.get().partitionId(), np.array([end], np.uint16)
         at, seen, rest = first.get(part, 0), 0, np.empty(0, np.uint16)
         for found in _tokens(ranks.value)(batches):
-            tokens = np.concatenate([np.array([*x, end], np.uint16) for x in found])
+            tokens = np.concatenate([part for x in found for part in (np.fromiter(x, np.uint16, len(x)), mark)])
             seen += len(tokens)
             rest = np.concatenate([rest, tokens])
             whole = len(rest) // length
