@@ -81,8 +81,13 @@ def attention(width: int) -> np.ndarray:
 
 
 def neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v, u: which suppliers a part has, for the first parts."""
-    return table(spark, sf_dir, "lineitem").where("l_partkey < 300").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("u")).distinct()
+    """v, u: which suppliers a part has, for all parts."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("u")).distinct()
+
+
+def first_neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the first parts only, as the SQL twins have it."""
+    return neighbour_sets(spark, sf_dir).where("v < 300")
 
 
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:

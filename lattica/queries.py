@@ -416,11 +416,23 @@ SETS = "s AS (SELECT DISTINCT l_partkey AS v, l_suppkey AS u FROM lineitem WHERE
 
 @query(_with("SELECT a, b, common, round(jaccard, 9) + 0.0 AS jaccard FROM j", SETS))
 def jaccard_pairs(spark, d):
-    return reorder.jaccard_pairs(fx.neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
+    return reorder.jaccard_pairs(fx.first_neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
 
 
 @query(_with("SELECT a, b, round(jaccard, 9) + 0.0 AS jaccard FROM j ORDER BY j.jaccard DESC, a, b LIMIT 100", SETS))
 def pair_queue(spark, d):
+    return reorder.queue(reorder.jaccard_pairs(fx.first_neighbour_sets(spark, d)), 100).select("a", "b", (F.round("jaccard", 9) + F.lit(0.0)).alias("jaccard"))
+
+
+@query()
+def jaccard_pairs_whole(spark, d):
+    """jaccard_pairs over all parts; its SQL twin holds the first ones only."""
+    return reorder.jaccard_pairs(fx.neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
+
+
+@query()
+def pair_queue_whole(spark, d):
+    """pair_queue over all parts."""
     return reorder.queue(reorder.jaccard_pairs(fx.neighbour_sets(spark, d)), 100).select("a", "b", (F.round("jaccard", 9) + F.lit(0.0)).alias("jaccard"))
 
 
@@ -438,7 +450,7 @@ def lsh_candidates(spark, d):
 def cluster_order(spark, d):
     fx.scratch(spark, "clusters")
     sets = fx.neighbour_sets(spark, d)
-    pairs = reorder.jaccard_pairs(sets).where("jaccard >= 0.2").select("a", "b", "jaccard")
+    pairs = reorder.jaccard_pairs(sets, 0.2).select("a", "b", "jaccard")
     vertices = sets.select("v").distinct()
     return reorder.cluster_order(reorder.clusters(pairs, sets, vertices))
 
