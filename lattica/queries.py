@@ -165,13 +165,24 @@ def full_graph(spark, d):
 
 
 @query(_with("SELECT eid, k, x FROM e JOIN x ON x.v = src", E, _x(8)))
-def gather(spark, d):
-    return aggregate.gather(fx.edges(spark, d), fx.features(spark, d, 8)).select("eid", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+def gather(spark, d, width=8):
+    return aggregate.gather(fx.edges(spark, d), fx.features(spark, d, width)).select("eid", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+
+
+@query()
+def gather_whole(spark, d):
+    """This and the other queries named _whole take whole vectors; their SQL twins hold a prefix."""
+    return gather(spark, d, fx.WIDTH)
 
 
 @query(_with("SELECT dst, step, k, x FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY eid) - 1 AS step FROM e) s JOIN x ON x.v = src", E, _x(8)))
-def gather_steps(spark, d):
-    return aggregate.gather_steps(fx.edges(spark, d), fx.features(spark, d, 8)).select("dst", "step", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+def gather_steps(spark, d, width=8):
+    return aggregate.gather_steps(fx.edges(spark, d), fx.features(spark, d, width)).select("dst", "step", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+
+
+@query()
+def gather_steps_whole(spark, d):
+    return gather_steps(spark, d, fx.WIDTH)
 
 
 def _pair(spark, d, width=fx.WIDTH):
@@ -206,11 +217,16 @@ def activations(spark, d):
 
 
 @query(_with("SELECT eid, k, val * x AS m FROM e JOIN x ON x.v = src", E, _x(8)))
-def edge_message(spark, d):
-    rows = aggregate.gather(fx.edges(spark, d), fx.features(spark, d, 8))
+def edge_message(spark, d, width=8):
+    rows = aggregate.gather(fx.edges(spark, d), fx.features(spark, d, width))
     return rows.select("eid", F.posexplode(F.transform("feat", lambda x: x * F.col("val"))).alias("k", "m")).withColumn("k", F.col("k").cast("long"))
 
 
+@query()
+def edge_message_whole(spark, d):
+    return edge_message(spark, d, fx.WIDTH)
+
+
 @query(_with("SELECT eid, dst, src, CASE WHEN eid % 2 = 0 THEN eid / 4.0e0 ELSE val END AS val FROM e", E))
 def update_values(spark, d):
     edges = fx.edges(spark, d)
@@ -390,10 +406,15 @@ def dense_matmul(spark, d):
 
 
 @query(_with("SELECT v, k AS o, x AS y FROM h", _x(16), _w(16, 8), _mm("x", "w", "h")))
-def dense_matmul_long(spark, d):
-    w = fx.weights(16, 8)
-    table = spark.createDataFrame([(i, o, float(w[i, o])) for i in range(16) for o in range(8)], "i long, o long, w double")
-    return dense.matmul_long(aggregate.to_long(fx.features(spark, d, 16)), table)
+def dense_matmul_long(spark, d, width=16):
+    w = fx.weights(width, 8)
+    table = spark.createDataFrame([(i, o, float(w[i, o])) for i in range(width) for o in range(8)], "i long, o long, w double")
+    return dense.matmul_long(aggregate.to_long(fx.features(spark, d, width)), table)
+
+
+@query()
+def dense_matmul_long_whole(spark, d):
+    return dense_matmul_long(spark, d, fx.WIDTH)
 
 
 @query("SELECT count(*) AS n_active FROM embeddings WHERE vec_id % 3 = 0")
@@ -479,12 +500,17 @@ def validate_reordered(spark, d):
     E, _x(8), _attn(), _scores(), "q AS (SELECT eid, dst, src, z / sum(z) OVER (PARTITION BY dst) AS p FROM sc)",
     "f AS (SELECT src AS v, k, sum(p * x) AS x FROM q JOIN x ON x.v = dst GROUP BY src, k)",
 ))
-def gat_backward(spark, d):
-    x = fx.features(spark, d, 8)
-    d_feat, _ = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, 8), x, 8)
+def gat_backward(spark, d, width=8):
+    x = fx.features(spark, d, width)
+    d_feat, _ = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, width), x, width)
     return _long(d_feat, "d_x", 6)
 
 
+@query()
+def gat_backward_whole(spark, d):
+    return gat_backward(spark, d, fx.WIDTH)
+
+
 @query(_with(
     "SELECT coalesce(a.v, b.v) AS v, round(coalesce(a.g, 0), 6) + 0.0 AS d_dst, round(coalesce(b.g, 0), 6) + 0.0 AS d_src FROM a FULL JOIN b ON a.v = b.v",
     E, _x(8), _attn(), _scores(None, out="raw"), "sc AS (SELECT eid, dst, src, z, exp(greatest(z, 0.2::DOUBLE * z)) AS ez FROM raw)",
@@ -494,12 +520,17 @@ def gat_backward(spark, d):
     "dz AS (SELECT dst, src, p * (g - mean) * CASE WHEN z < 0 THEN 0.2::DOUBLE ELSE 1 END AS dz FROM m)",
     "a AS (SELECT dst AS v, sum(dz) AS g FROM dz GROUP BY dst), b AS (SELECT src AS v, sum(dz) AS g FROM dz GROUP BY src)",
 ))
-def gat_backward_scores(spark, d):
-    x = fx.features(spark, d, 8)
-    _, d_attn = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, 8), x, 8)
+def gat_backward_scores(spark, d, width=8):
+    x = fx.features(spark, d, width)
+    _, d_attn = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, width), x, width)
     return d_attn.select("v", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("d_dst", "d_src")])
 
 
+@query()
+def gat_backward_scores_whole(spark, d):
+    return gat_backward_scores(spark, d, fx.WIDTH)
+
+
 # --- prefix sums and positions --------------------------------------------------------------------------------------
 
 
@@ -696,8 +727,8 @@ LSTM = _with(
 )
 
 
-def _lstm(spark, d, bypass):
-    out = lstm.sage_lstm(fx.edges(spark, d), fx.features(spark, d, HIDDEN), fx.weights(HIDDEN, 4 * HIDDEN), fx.recurrent(HIDDEN), fx.NEIGHBOURS, bypass)
+def _lstm(spark, d, bypass, width=HIDDEN):
+    out = lstm.sage_lstm(fx.edges(spark, d), fx.features(spark, d, width), fx.weights(width, 4 * width), fx.recurrent(width), fx.NEIGHBOURS, bypass)
     return _long(out, digits=6)
 
 
@@ -711,6 +742,16 @@ def sage_lstm_bypass(spark, d):
     return _lstm(spark, d, True)
 
 
+@query()
+def sage_lstm_base_whole(spark, d):
+    return _lstm(spark, d, False, fx.WIDTH)
+
+
+@query()
+def sage_lstm_bypass_whole(spark, d):
+    return _lstm(spark, d, True, fx.WIDTH)
+
+
 # --- timings and logs -----------------------------------------------------------------------------------------------
 
 TIMERS = "tm AS (SELECT l_orderkey * 8 + l_linenumber AS task_id, l_suppkey % 80 AS slot, l_orderkey * 1000 AS begin_ns, l_orderkey * 1000 + (l_quantity * 100)::BIGINT + l_linenumber AS end_ns FROM lineitem)"

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from lattica import fixtures as fx
 from lattica import queries
-from lattica.operators import reorder
+from lattica.operators import lstm, reorder
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +48,65 @@ def test_signatures_candidates_and_clusters_of_all_parts(spark, parts):
     got = {(r.a, r.b): r.jaccard for r in named["lsh_candidates"](spark, d).collect()}
     assert all(want.get(k, (0, 0.0))[1] == j for k, j in got.items())
     assert {k for k, (_, j) in want.items() if j == 1} <= set(got) and any(a > 300 for a, _ in got)
+
+
+@pytest.fixture(scope="module")
+def graph(spark, tmp_path_factory):
+    """A folder with 23 vertices of 64 components and 600 rows of edges, and the edges and vectors in numpy."""
+    rng, folder, n = np.random.default_rng(3), tmp_path_factory.mktemp("graph"), 23
+    x = np.round(rng.normal(size=(n, 64)) * 1024) / 1024
+    spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    rows = rng.integers(0, 1000, (600, 3)).tolist()
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    pairs = [(p % n, (o * 7 + s) % n) for o, p, s in rows]
+    edges = [(d, s, pairs.count((d, s))) for d, s in sorted(set(pairs)) if d % fx.GAP != 3]
+    return str(folder), edges, x.astype(np.float32).astype(float)
+
+
+def cells(spark, graph, name, keys, value):
+    return {tuple(r[k] for k in keys): r[value] for r in queries.queries()[name](spark, graph[0]).collect()}
+
+
+def test_gathers_of_whole_vectors(spark, graph):
+    _, edges, x = graph
+    at = {d: [s for e, s, _ in edges if e == d] for d, _, _ in edges}
+    assert cells(spark, graph, "gather_whole", ("eid", "k"), "x") == {(i, k): x[s, k] for i, (_, s, _) in enumerate(edges) for k in range(64)}
+    assert cells(spark, graph, "edge_message_whole", ("eid", "k"), "m") == {(i, k): w * x[s, k] for i, (_, s, w) in enumerate(edges) for k in range(64)}
+    assert cells(spark, graph, "gather_steps_whole", ("dst", "step", "k"), "x") == {(d, i, k): x[s, k] for d, row in at.items() for i, s in enumerate(row) for k in range(64)}
+
+
+def test_products_and_lstm_of_whole_vectors(spark, graph):
+    _, edges, x = graph
+    y = x @ fx.weights(64, 8)
+    assert cells(spark, graph, "dense_matmul_long_whole", ("v", "o"), "y") == pytest.approx({(v, o): y[v, o] for v in range(len(x)) for o in range(8)})
+    want = {}
+    for d in {e for e, _, _ in edges}:
+        row = [s for e, s, _ in edges if e == d][: fx.NEIGHBOURS]
+        h = c = np.zeros((1, 64))
+        for s in row:
+            h, c = lstm.step(x[[s]] @ fx.weights(64, 256) + h @ fx.recurrent(64), c)
+        want |= {(d, k): h[0, k] for k in range(64) if len(row) == fx.NEIGHBOURS}
+    assert want
+    for name in ("sage_lstm_base_whole", "sage_lstm_bypass_whole"):
+        assert cells(spark, graph, name, ("v", "k"), "y") == pytest.approx(want, abs=2e-6)
+
+
+def test_gradients_of_whole_vectors(spark, graph):
+    _, edges, x = graph
+    a = x @ fx.attention(64)
+    d_x, d_dst, d_src = np.zeros_like(x), np.zeros(len(x)), np.zeros(len(x))
+    for d in {e for e, _, _ in edges}:
+        row = [s for e, s, _ in edges if e == d]
+        z = a[d, 0] + a[row, 1]
+        p = np.exp(np.maximum(z, 0.2 * z))
+        p /= p.sum()
+        g = x[row] @ x[d]
+        dz = p * (g - p @ g) * np.where(z < 0, 0.2, 1)
+        d_x[row] += p[:, None] * x[d]
+        d_dst[d] += dz.sum()
+        d_src[row] += dz
+    got = cells(spark, graph, "gat_backward_whole", ("v", "k"), "d_x")
+    assert len(got) == 64 * len({s for _, s, _ in edges}) and all(got[v, k] == pytest.approx(d_x[v, k], abs=2e-6) for v, k in got)
+    scores = cells(spark, graph, "gat_backward_scores_whole", ("v",), "d_dst"), cells(spark, graph, "gat_backward_scores_whole", ("v",), "d_src")
+    for found, want in zip(scores, (d_dst, d_src), strict=True):
+        assert {v for (v,) in found} == {v for e in edges for v in e[:2]} and all(found[v,] == pytest.approx(want[v], abs=2e-6) for (v,) in found)
