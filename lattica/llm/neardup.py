@@ -62,6 +62,15 @@ def shingles(text: str | None, width: int = 5, known: _Words | None = None) -> n
         return np.unique(_mix(out))
 
 
+def _order(j: int, keys: np.ndarray) -> np.ndarray:
+    """The register that comes j-th in each element's order: a keyed bijection of 0 .. M - 1, four rounds of affine map and shift."""
+    x = np.full(len(keys), j, np.uint8)
+    for i in range(0, 8, 2):
+        x = (x * (keys[:, i] | np.uint8(1)) + keys[:, i + 1]) & np.uint8(M - 1)
+        x ^= x >> np.uint8(3)
+    return x
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """M registers of each set; all 0 for an empty one. An element's x come in ascending order and stop where they can't count."""
     values = np.full((len(sets), M), np.inf)
@@ -69,18 +78,18 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     if not len(owner):
         return np.zeros((len(sets), M), np.uint16)
     h = _mix(np.concatenate(sets) ^ np.uint64(0xA5A5A5A55A5A5A5A))
+    keys = _mix(h ^ np.uint64(0x3C3C3C3CC3C3C3C3)).view(np.uint8).reshape(-1, 8)
     x, flat = np.zeros(len(h)), values.reshape(-1)
     with np.errstate(over="ignore"):
         for j in range(M):
             u = (_mix(h + np.uint64(j + 1) * _STEP) >> np.uint64(11)).astype(np.float64)
             x = x - np.log((u + 0.5) / float(1 << 53)) / (RATE * (M - j))
-            register = ((h >> np.uint64(40)) + np.uint64(j) * (h >> np.uint64(8) | np.uint64(1))) & np.uint64(M - 1)
-            np.minimum.at(flat, owner * M + register.astype(np.int64), x)
+            np.minimum.at(flat, owner * M + _order(j, keys), x)
             open_ = x <= values.max(axis=1)[owner]
             if not open_.any():
                 break
             if not open_.all():
-                h, x, owner = h[open_], x[open_], owner[open_]
+                h, keys, x, owner = h[open_], keys[open_], x[open_], owner[open_]
     k = np.floor(1 - np.log(values) / np.log(BASE))
     return np.where(np.isfinite(values), np.clip(k, 0, 65535), 0).astype(np.uint16)
 

@@ -113,3 +113,15 @@ def test_components_both_ways(spark):
     assert got == {r.v: r.component for r in components(frame, one_task=0).collect()}
     assert got[1000] == got[1001] == got[999] == 999 and all(got[a] == got[b] for a, b in links if a != b)
     assert components(frame.where("a > 5000")).count() == 0
+
+
+def test_small_similar_sets_share_a_band():
+    rng, missed = np.random.default_rng(5), 0
+    for _ in range(12):  # 3 of 4 shingles, similarity 0.75
+        x = rng.integers(0, 1 << 63, (5000, 4)).astype(np.uint64)
+        same = nd.sketches(list(x[:, :3])) == nd.sketches(list(x))
+        missed += int((~same.reshape(-1, nd.BANDS, nd.ROWS).all(2).any(1)).sum())
+    assert missed <= 3
+    keys = rng.integers(0, 256, (500, 8)).astype(np.uint8)
+    orders = np.sort(np.stack([nd._order(j, keys) for j in range(nd.M)]), axis=0)
+    assert (orders == np.arange(nd.M)[:, None]).all()
