@@ -2,15 +2,16 @@
 
 Rows (word, position, token) join the merge table. Each round contracts each word's minimum-rank pair at its leftmost
 place. Exact short cuts save rounds: a word is cut where no vocabulary entry can lie across two bytes (no merge can),
-equal segments are solved once, and in long ones all places of the pair are contracted at once where no pair with the
-new token ranks lower (then the next rounds would contract just these).
+equal segments are solved once, and long ones are solved in overlapping windows, joined at tokens that both share, so
+that time grows in proportion to a word's length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence, Sized
 from itertools import chain, islice
 from pathlib import Path
 
@@ -31,55 +32,30 @@ MOST_KNOWN = 350_000
 #: Of these, the first, which are the commonest, that stay for the worker's next task.
 KEPT = 100_000
 
-#: Longest segment, in bytes, whose tokens are kept as one list between the rounds.
-LISTED = 200
+#: Bytes of a window. Longer segments are solved in windows that overlap by half; results don't depend on it.
+WINDOW = 64
+#: Bytes that one recursive query contracts, and ids that one decoding query holds.
+CONTRACTED, DECODED = 1_000_000, 500_000
 
-#: Rounds over lists: unnested token-position rows join the merge table, and each list loses its leftmost minimum-rank pair.
-_SHORT = """
-WITH RECURSIVE step(w, toks, fin) AS (
+#: Unnested token-position rows join the merge table, and each list loses its leftmost minimum-rank pair, to the fixpoint.
+#: USING KEY keeps the last list of each segment only.
+_ROUNDS = """
+WITH RECURSIVE step(w, toks, fin) USING KEY (w) AS (
   SELECT w, toks, false FROM init
-  UNION ALL
+  UNION
   (WITH pair AS (
      SELECT w, unnest(toks) AS a, unnest(toks[2:]) AS b, generate_subscripts(toks, 1) AS pos FROM step WHERE NOT fin),
    best AS (
-     SELECT p.w, min(m.m * 65536 + p.pos) AS k FROM pair p JOIN merges m ON m.lr = p.a * 65536 + p.b GROUP BY p.w)
-   SELECT s.w, CASE WHEN k IS NULL THEN toks ELSE toks[:(k % 65536) - 1] || [k // 65536] || toks[(k % 65536) + 2:] END, k IS NULL
-   FROM step s LEFT JOIN best b ON b.w = s.w WHERE NOT s.fin)),
-final AS (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM step WHERE fin)
+     SELECT p.w, min(m.m * 4294967296 + p.pos) AS k FROM pair p JOIN merges m ON m.lr = p.a * 65536 + p.b GROUP BY p.w)
+   SELECT s.w, CASE WHEN k IS NULL THEN toks ELSE toks[:(k % 4294967296) - 1] || [k // 4294967296] || toks[(k % 4294967296) + 2:] END, k IS NULL
+   FROM step s LEFT JOIN best b ON b.w = s.w WHERE NOT s.fin))
+SELECT w, toks AS ids FROM step ORDER BY w
 """
 
-#: Rounds over rows, for long segments: a pair whose new token starts no lower-ranked pair goes at all its places.
-_LONG = """
-WITH RECURSIVE step(w, pos, tok, fin) AS (
-  SELECT w, pos, tok, false FROM init
-  UNION ALL
-  (WITH cur AS (
-     SELECT w, pos, tok, lead(tok) OVER o AS nxt, lag(tok) OVER o AS prv, lag(pos) OVER o AS prv_pos
-     FROM step WHERE NOT fin WINDOW o AS (PARTITION BY w ORDER BY pos)),
-   pair AS (
-     SELECT c.w, c.pos, c.tok, c.prv_pos, a.m AS m, b.m AS mp
-     FROM cur c LEFT JOIN merges a ON a.lr = c.tok * 65536 + c.nxt LEFT JOIN merges b ON b.lr = c.prv * 65536 + c.tok),
-   best AS (SELECT w, min(m * 4294967296 + pos) AS k FROM pair GROUP BY w),
-   kind AS (
-     SELECT b.w, k // 4294967296 AS bm, k % 4294967296 AS bpos, coalesce(t.safe, false) AS safe, coalesce(t.twin, false) AS twin
-     FROM best b LEFT JOIN tokens t ON t.m = b.k // 4294967296),
-   runs AS (
-     SELECT *, row_number() OVER (PARTITION BY w, island ORDER BY pos) % 2 = 1 AND m = bm AS hit FROM (
-       SELECT p.w, p.pos, p.tok, p.m, k.bm,
-              sum(CASE WHEN p.mp IS DISTINCT FROM k.bm THEN 1 ELSE 0 END) OVER (PARTITION BY p.w ORDER BY p.pos) AS island
-       FROM pair p JOIN kind k ON k.w = p.w WHERE k.safe AND k.twin))
-   SELECT p.w, p.pos, CASE WHEN p.m = k.bm AND (k.safe OR p.pos = k.bpos) THEN k.bm ELSE p.tok END, k.bm IS NULL
-   FROM pair p JOIN kind k ON k.w = p.w
-   WHERE NOT (k.safe AND k.twin) AND NOT coalesce(p.mp = k.bm AND (k.safe OR p.prv_pos = k.bpos), false)
-   UNION ALL
-   SELECT w, pos, CASE WHEN hit THEN bm ELSE tok END, false FROM (
-     SELECT *, lag(hit) OVER (PARTITION BY w ORDER BY pos) AS gone FROM runs) WHERE NOT coalesce(gone, false))),
-final AS (SELECT w, pos, tok FROM step WHERE fin)
-"""
-
-_ORDERED = """
-SELECT f.w, list(f.tok ORDER BY f.pos) AS ids, string_agg(t.bytes, '' ORDER BY f.pos) AS bytes
-FROM final f JOIN tokens t ON t.m = f.tok GROUP BY f.w ORDER BY f.w
+#: Bytes are held as the characters of these numbers.
+_DECODE = """
+SELECT part, array_to_string(list(t.bytes ORDER BY g.pos), '') AS bytes, bool_or(t.m IS NULL) AS unknown
+FROM given g LEFT JOIN tokens t ON t.m = g.id GROUP BY part ORDER BY part
 """
 
 
@@ -115,18 +91,16 @@ def _runs(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes and decodes distinct words of texts; remembers their ids (little-endian uint32), and the decoded bytes of
-    those that don't decode to themselves."""
+    """Encodes distinct words of texts, remembers their ids (little-endian uint32), and decodes lists of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.ids, self.odd = ranks, {}, {}
-        ids = sorted(ranks.values())
-        if ids[-1] >= 1 << 16:
+        self.ranks, self.ids = ranks, {}
+        order = sorted(ranks.values())
+        if order[-1] >= 1 << 16:
             raise ValueError("pair keys hold ids below 65,536")
         left, right, merged = [], [], []
         self.whole = [np.zeros(1 << _BITS, bool) for _ in range(2)]  # entries of two and of three bytes
         self.inside = np.zeros(1 << _BITS, bool)  # four bytes somewhere in an entry
-        lowest: dict[int, int] = {}
         for token, rank in ranks.items():
             a = np.frombuffer(token, np.uint8).astype(np.int64)
             if len(a) in (2, 3):
@@ -136,28 +110,20 @@ class Encoder:
             for at in range(1, len(token)):
                 if (x := ranks.get(token[:at])) is not None and (y := ranks.get(token[at:])) is not None:
                     left.append(x), right.append(y), merged.append(rank)
-                    for z in (x, y):
-                        lowest[z] = min(rank, lowest.get(z, rank))
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        twin = {m for x, y, m in zip(left, right, merged, strict=True) if x == y}
-        lr = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
-        ways = np.bincount(np.array(merged), minlength=ids[-1] + 1)
+        self.lengths = np.zeros(order[-1] + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
         back = {r: t for t, r in ranks.items()}
-        tokens = pa.table({
-            "m": pa.array(ids, pa.int64()),
-            # one split only: else two different pairs share the rank, and only the leftmost place is contracted
-            "safe": pa.array([lowest.get(i, 1 << 60) > i and ways[i] == 1 for i in ids]),
-            "twin": pa.array([i in twin for i in ids]),
-            "bytes": pa.array([back[i].hex() for i in ids]),
-        })
+        tokens = pa.table({"m": pa.array(order, pa.int64()), "bytes": [back[i].decode("latin-1") for i in order]})
+        lr = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
         self.tables = {"tokens": tokens, "merges": pa.table({"lr": lr, "m": np.array(merged, np.int64)})}
         self.open()
 
     def open(self) -> Encoder:
-        """Starts a database with the tables; a task closes it again, since workers outlive tasks."""
+        """Starts a database with the tables; a task closes it again, since workers outlive tasks. It writes no files."""
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         for name, table in self.tables.items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -167,19 +133,12 @@ class Encoder:
     def close(self) -> None:
         self.db.close()
         self.ids = dict(islice(self.ids.items(), KEPT))
-        self.odd = {w: x for w, x in self.odd.items() if w in self.ids}
 
-    def pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of distinct pieces (matches of PATTERN)."""
-        out: list[tuple[bytes, bytes] | None] = [None] * len(pieces)
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces (matches of PATTERN)."""
         raw = [p.encode() for p in pieces]
-        rest = []
-        for i, b in enumerate(raw):
-            if (rank := self.ranks.get(b)) is not None:
-                out[i] = (rank.to_bytes(4, "little"), b)
-            else:
-                rest.append(i)
-        for part in _bounded(rest, raw):
+        out = [b"" if (rank := self.ranks.get(b)) is None else rank.to_bytes(4, "little") for b in raw]
+        for part in _bounded([i for i, x in enumerate(out) if not x], raw):
             self._contract(part, raw, out)
         return out
 
@@ -194,77 +153,118 @@ class Encoder:
                     crossed[i + 1 : i + 1 + len(hit)] |= hit
         return ~crossed[: len(flat)]
 
-    def _contract(self, part: list[int], raw: list[bytes], out: list) -> None:
+    def _contract(self, part: list[int], raw: list[bytes], out: list[bytes]) -> None:
         data = b"".join([raw[i] for i in part])
         flat = np.frombuffer(data, np.uint8)
         word = np.repeat(np.arange(len(part)), [len(raw[i]) for i in part])
-        starts = self._cuts(flat, word)
-        at = np.flatnonzero(starts)
+        at = np.flatnonzero(self._cuts(flat, word))
         owner, ends = word[at], [*at.tolist(), len(data)]
-        index: dict[bytes, int] = {}
-        codes = [index.setdefault(data[a:b], len(index)) for a, b in zip(ends, ends[1:], strict=False)]
-        solved = self._solve(list(index))
-        firsts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(codes)]
+        segments = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        distinct = dict.fromkeys(segments)
+        long = [x for x in distinct if len(x) > WINDOW]
+        solved: dict[bytes, bytes] = {}
+        self._solve([x for x in distinct if len(x) <= WINDOW] + [x[a : a + WINDOW] for x in long for a in _grid(len(x))], solved)
+        whole = {x: self._stitched(x, solved) for x in long}
+        firsts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(segments)]
         for i, a, b in zip(part, firsts, firsts[1:], strict=False):
-            if b - a == 1:
-                out[i] = solved[codes[a]]
-            else:
-                ids, texts = zip(*[solved[c] for c in codes[a:b]], strict=True)
-                out[i] = (b"".join(ids), b"".join(texts))
-
-    def _solve(self, segments: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of distinct segments, by the rounds."""
-        out: list = [None] * len(segments)
-        sizes = np.array([len(x) for x in segments])
-        tokens = self.byte_ids[np.frombuffer(b"".join(segments), np.uint8)]
-        owner = np.repeat(np.arange(len(segments)), sizes)
-        short = sizes <= LISTED
-        if short.any():
-            ends = np.concatenate([[0], np.cumsum(sizes[short])])
-            init = pa.table({"w": np.flatnonzero(short), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[short[owner]]))})
-            self._rounds(_SHORT, init, out)
-        if not short.all():
-            kept = ~short[owner]
-            init = pa.table({"w": owner[kept], "pos": np.arange(len(tokens))[kept], "tok": tokens[kept]})
-            self._rounds(_LONG, init, out)
-        return out
-
-    def _rounds(self, query: str, init: pa.Table, out: list) -> None:
-        self.db.register("init", init)
-        got = self.db.sql(query + _ORDERED).to_arrow_table().combine_chunks()
-        self.db.unregister("init")
-        lists, texts = got["ids"].chunk(0), got["bytes"].chunk(0)
-        values, ends = np.asarray(lists.values).astype("<u4").tobytes(), np.asarray(lists.offsets).tolist()
-        for w, a, b, text in zip(got["w"].to_pylist(), ends, ends[1:], texts.to_pylist(), strict=False):
-            out[w] = (values[4 * a : 4 * b], bytes.fromhex(text))
+            out[i] = b"".join([solved[x] if len(x) <= WINDOW else whole[x] for x in segments[a:b]])
+
+    def _solve(self, segments: list[bytes], solved: dict[bytes, bytes]) -> None:
+        """Adds the ids of each segment that isn't there, by the rounds."""
+        fresh = [x for x in dict.fromkeys(segments) if x not in solved]
+        for part in _bounded(range(len(fresh)), fresh):
+            given = fresh[part[0] : part[-1] + 1]
+            tokens = self.byte_ids[np.frombuffer(b"".join(given), np.uint8)]
+            ends = np.concatenate([[0], np.cumsum(list(map(len, given)))])
+            init = pa.table({"w": np.arange(len(given)), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))})
+            self.db.register("init", init)
+            lists = self.db.sql(_ROUNDS).to_arrow_table().combine_chunks()["ids"].chunk(0)
+            self.db.unregister("init")
+            values, ends = np.asarray(lists.values).astype("<u4").tobytes(), np.asarray(lists.offsets).tolist()
+            solved.update((x, values[4 * a : 4 * b]) for x, a, b in zip(given, ends, ends[1:], strict=False))
+
+    def _stitched(self, segment: bytes, solved: dict[bytes, bytes]) -> bytes:
+        """The ids of a long segment from those of its windows.
+
+        Two windows that share a token (same bytes, same place) are joined there. That is exact whatever the ranks: if
+        each two neighbours of a token sequence are the encoding of their bytes, then no merge can be the first to cross
+        a boundary between them, so the whole is the encoding of its bytes; and any stretch of an encoding is one.
+        Where the windows share none, as in a run whose period doesn't divide the grid, the next window starts at a
+        boundary of what is joined already, and grows until they do.
+        """
+        ids: list[int] = []
+        starts: list[int] = []
+        end = 0
+
+        def join(a: int, size: int) -> bool:
+            nonlocal end
+            piece = segment[a : a + size]
+            if piece not in solved:
+                self._solve([piece], solved)
+            new = np.frombuffer(solved[piece], "<u4")
+            lengths = self.lengths[new]
+            at, new = (a + np.cumsum(lengths) - lengths).tolist(), new.tolist()
+            if a == 0:
+                ids[:], starts[:], end = new, at, len(piece)
+                return True
+            there = dict(zip(at, range(len(at)), strict=True))
+            for j in range(bisect_left(starts, a), len(starts)):
+                if (i := there.get(starts[j])) is not None and new[i] == ids[j]:
+                    ids[j:], starts[j:], end = new[i:], at[i:], a + len(piece)
+                    return True
+            return False
+
+        for a in _grid(len(segment)):
+            while end < min(a + WINDOW, len(segment)) and not join(a, WINDOW):
+                size = WINDOW
+                while (own := starts[max(0, bisect_left(starts, end - size // 2 + 1) - 1)]) + size <= end or not join(own, size):
+                    size *= 2
+        return np.array(ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         cut = list(map(PATTERN.findall, words))
         distinct = list(dict.fromkeys(chain.from_iterable(cut)))
-        solved = self.pieces(distinct)
-        ids = dict(zip(distinct, [x for x, _ in solved], strict=True))
-        odd = {p: x for p, (_, x) in zip(distinct, solved, strict=True) if x != p.encode()}
+        ids = dict(zip(distinct, self.pieces(distinct), strict=True))
         self.ids.update([(w, ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))) for w, c in zip(words, cut, strict=True)])
-        if odd:
-            self.odd.update((w, b"".join(odd.get(p, p.encode()) for p in c)) for w, c in zip(words, cut, strict=True) if not odd.keys().isdisjoint(c))
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each text. Words that decode to their own bytes, as all do whose vocabulary holds
-        every byte, needn't be joined anew: together they are the text's bytes."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if len(self.ids) > MOST_KNOWN:
-            self.ids.clear(), self.odd.clear()
+            self.ids.clear()
         cut = list(map(words_of, texts))
         self.learn(list(set(chain.from_iterable(cut)).difference(self.ids)))
-        for text, c in zip(texts, cut, strict=True):
-            plain = not self.odd or self.odd.keys().isdisjoint(c)
-            yield b"".join(map(self.ids.__getitem__, c)), text.encode() if plain else b"".join(self.odd.get(w, w.encode()) for w in c)
+        return [b"".join(map(self.ids.__getitem__, c)) for c in cut]
+
+    def decode(self, lists: list[np.ndarray]) -> Iterator[Iterator[bytes | None]]:
+        """The bytes of each list of ids, in parts: ordered aggregation over (list, position, id); None for an unknown id."""
+        parts = [[x[a : a + DECODED] for a in range(0, len(x), DECODED)] for x in lists]
+        found = self._decoded(list(chain.from_iterable(parts)))
+        for p in parts:
+            yield islice(found, len(p))
+
+    def _decoded(self, parts: list[np.ndarray]) -> Iterator[bytes | None]:
+        for group in _bounded(range(len(parts)), parts, DECODED):
+            ids = [parts[i] for i in group]
+            sizes = np.array(list(map(len, ids)))
+            place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+            self.db.register("given", pa.table({"part": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": place, "id": np.concatenate(ids).astype(np.int64)}))
+            got = self.db.sql(_DECODE).to_arrow_table()
+            self.db.unregister("given")
+            for text, unknown in zip(got["bytes"].to_pylist(), got["unknown"].to_pylist(), strict=True):
+                yield None if unknown else text.encode("latin-1")
+
+
+def _grid(size: int) -> range:
+    """Where the windows of a segment start."""
+    return range(0, max(1, size - WINDOW // 2), WINDOW // 2)
 
 
-def _bounded(rest: list[int], raw: list[bytes], most: int = 1_000_000) -> Iterator[list[int]]:
+def _bounded(rows: Iterable[int], items: Sequence[Sized], most: int = CONTRACTED) -> Iterator[list[int]]:
+    """Cuts a list of row numbers where the lengths of their items pass a bound."""
     part, size = [], 0
-    for i in rest:
+    for i in rows:
         part.append(i)
-        size += len(raw[i])
+        size += len(items[i])
         if size >= most:
             yield part
             part, size = [], 0
@@ -289,18 +289,19 @@ def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
         for batch in slices(batches, "text", 4_000_000):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            n, ids_hash, text_hash, ids = [], [], [], []
-            for a, b in own.texts(texts):
-                n.append(len(a) // 4)
-                ids_hash.append(hashlib.sha256(a).hexdigest())
-                text_hash.append(hashlib.sha256(b).hexdigest())
-                if with_ids:
-                    ids.append(np.frombuffer(a, "<u4").astype(np.int32))
-            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            raw = own.encode([x or "" for x in batch.column("text").to_pylist()])
+            ids = [np.frombuffer(x, "<u4") for x in raw]
+            decoded = []
+            for parts in own.decode(ids):
+                seen = hashlib.sha256()
+                for part in parts:
+                    seen.update(part)
+                decoded.append(seen.hexdigest())
+            n, ids_hash = [len(x) for x in ids], [hashlib.sha256(x).hexdigest() for x in raw]
+            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded, pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
         own.close()
@@ -311,8 +312,10 @@ def _encode(ranks, with_ids: bool):
 def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each whole text; no special tokens.
 
-    A null text is empty: no tokens, the digests of nothing. A null key stays null, repeated rows are encoded one by
-    one, other columns are ignored. One pass without a shuffle; the rank file is broadcast (its size is the bound).
+    decoded_sha256 digests the bytes that the row's list of ids decodes to. A null text is empty: no tokens, the digests
+    of nothing. A null key stays null, repeated rows are encoded one by one, other columns are ignored. One pass without
+    a shuffle; the rank file is broadcast (its size is the bound). A very long text is encoded by one task, in time in
+    proportion to its length, also where it is one word; the task holds it, its words and its ids.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -325,17 +328,11 @@ def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "t
 def _decode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
-        db = own.db
         for batch in batches:
-            lists = batch.column("ids")
-            db.register("given", pa.table({"row": np.arange(batch.num_rows), "ids": lists}))
-            got = db.execute(
-                "WITH flat AS (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM given) "
-                "SELECT g.row, coalesce(string_agg(t.bytes, '' ORDER BY f.pos), '') AS bytes, bool_or(f.pos IS NOT NULL AND t.m IS NULL) AS bad "
-                "FROM given g LEFT JOIN flat f USING (row) LEFT JOIN tokens t ON t.m = f.id GROUP BY g.row ORDER BY g.row"
-            ).to_arrow_table()
-            db.unregister("given")
-            out = [None if bad else bytes.fromhex(x) for x, bad in zip(got["bytes"].to_pylist(), got["bad"].to_pylist(), strict=True)]
+            out = []
+            for parts in own.decode([np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]):
+                got = list(parts)
+                out.append(None if None in got else b"".join(got))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "decoded"])
         own.close()
 

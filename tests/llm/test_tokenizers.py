@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ def docs(spark):
 
 
 def test_encoding_equals_the_library(docs):
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    library = library_of_ranks()
     got = bpe.encode(docs, RANKS)
     back = {(r.doc_id, len(r.decoded)): bytes(r.decoded) for r in bpe.decode(got, RANKS).collect()}
     rows = got.collect()
@@ -48,12 +49,49 @@ def test_encoding_equals_the_library(docs):
         assert back[doc_id, len((text or "").encode())] == (text or "").encode()
 
 
-def test_long_and_short_words_agree(monkeypatch):
-    encoder = bpe.Encoder(bpe.read_ranks(RANKS))
-    pieces = ["%" * n for n in range(2, 30)] + ["abab" * 9, "xyzzy" * 11, "aaaabaaaab" * 5]
-    whole = encoder.pieces(pieces)
-    monkeypatch.setattr(bpe, "LISTED", 0)
-    assert encoder.pieces(pieces) == whole
+def library_of_ranks() -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.read_ranks(RANKS))
+
+
+def ids_of(encoder: bpe.Encoder, text: str) -> list[int]:
+    return np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+
+
+@pytest.mark.parametrize("window", [4, 8, 64, 1 << 20])
+def test_windows_of_any_size_agree(encoder, monkeypatch, window):
+    rng, library = random.Random(window), library_of_ranks()
+    words = ["%" * n for n in range(2, 30)] + ["abab" * 9, "xyzzy" * 11, "aaaabaaaab" * 5, "=-+" * 200, "-" * 301]
+    words += ["".join(rng.choice(["aa", "a", "ab", "-", "=", "--", "0", "12", "é", "日"][: rng.randint(1, 10)]) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    encoder.ids.clear()
+    assert [ids_of(encoder, w) for w in words] == [library.encode_ordinary(w) for w in words]
+
+
+def test_long_unbroken_words_take_time_in_proportion(encoder):
+    rng = random.Random(3)
+    words = ["a" * 200_000, "0123456789" * 20_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "=-+" * 30_000, "".join("-" * rng.randint(1, 300) + "=" for _ in range(800))]
+    for word in words:
+        began = time.perf_counter()
+        got = ids_of(encoder, word)
+        assert time.perf_counter() - began < 5
+        assert got == library_of_ranks().encode_ordinary(word)
+
+
+def test_decoding_reads_the_ids(encoder):
+    """Wrong, swapped and missing ids show in the bytes; parts of a long list come in order."""
+    text = "one two \x00 three \U0001f600" * 50_000
+    ids = np.array(library_of_ranks().encode_ordinary(text))
+    assert len(ids) > bpe.DECODED // 2
+    doubled = np.concatenate([ids, ids])
+    swapped = np.concatenate([ids[1:2], ids[:1], ids[2:]])
+    got = [b"".join(parts) for parts in encoder.decode([doubled, ids[:0], swapped, ids[:-1]])]
+    assert got[0] == (text * 2).encode() and got[1] == b""
+    assert got[2] == b" twoone" + text.encode()[7:] and got[3] != text.encode()
 
 
 def test_unknown_ids_decode_to_null(spark):
