@@ -95,7 +95,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
 e AS (
-  SELECT *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS n, length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) AS rn,
+  SELECT *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS n, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) AS rn,
          lag(role) OVER o IS DISTINCT FROM role AS opens FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,

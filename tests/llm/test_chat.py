@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lattica.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, pieces int"
 TEXT = st.one_of(st.none(), st.text(st.sampled_from("ab\\<|>\n im_endstarté\U0001f600"), max_size=12), st.sampled_from(["<|im_end|>\n", "<|im_start|>assistant ok", "<|im_sep|>", "\\<|", "<\\|", "|im_end|>", "<"]))
-TURNS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6), st.one_of(st.none(), st.sampled_from(["user", "assistant", "system", "a\nb", "<|im_end|>"])), TEXT), min_size=1, max_size=25)
+TURNS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6), st.one_of(st.none(), st.sampled_from(["user", "assistant", "system", "a\nb", "assistant\nx", "\\n\n\\", "<|im_end|>"])), TEXT), min_size=1, max_size=25)
 
 
 def brute(rows):
@@ -25,7 +28,6 @@ def brute(rows):
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(TURNS)
 def test_read_back(spark, rows):
-    rows = [(c, t, r.replace("\n", " ") if r else r, x) for c, t, r, x in rows]
     frame = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(frame).collect()}
     assert got == brute(rows)
@@ -49,3 +51,28 @@ def test_null_conversation_and_empty_table(spark):
     frame = spark.createDataFrame([(None, 0, "user", "x", 1), (None, None, "user", "y", 1)], SCHEMA)
     assert [(r.conv_id, r.n_turns) for r in chat.digests(frame).collect()] == [(None, 2)]
     assert chat.digests(frame.where("turn > 5")).count() == 0
+
+
+def test_the_loss_comes_through_the_mask(spark, monkeypatch):
+    """Another mask gives another loss; runs beyond one piece and one block of sums are cut whole."""
+    monkeypatch.setattr(chat, "PIECE", 7)
+    monkeypatch.setattr(chat, "RUNS", 3)
+    rows = [(1, i, ["user", "assistant", "assistant\nx"][i % 3], "\\<|\U0001f600 text %d " % i + "z" * (i % 40), 1) for i in range(50)]
+    one = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    loss = one.select(chat.loss_text(F.col("formatted"), F.col("loss_runs")).alias("x")).head().x
+    assert loss == "".join(x for _, _, r, x, _ in rows if r == "assistant")
+    swapped = F.transform("loss_runs", lambda r: F.struct((r["skip"] + 1).alias("skip"), F.greatest(r["take"] - 1, F.lit(0)).cast("long").alias("take")))
+    assert one.select(chat.loss_text(F.col("formatted"), swapped).alias("x")).head().x != loss
+    none = F.transform("loss_runs", lambda r: F.struct((r["skip"] + r["take"]).alias("skip"), F.lit(0).cast("long").alias("take")))
+    assert one.select(chat.loss_text(F.col("formatted"), none).alias("x")).head().x == ""
+    assert one.select(chat.loss_text(F.lit("abc"), F.filter("loss_runs", lambda r: F.lit(False))).alias("x")).head().x == ""
+    assert one.select(chat.loss_text(F.lit(None).cast("string"), F.col("loss_runs")).alias("x")).head().x is None
+
+
+def test_many_turns_in_one_conversation(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words é ").alias("text"))
+    began = time.perf_counter()
+    got = chat.digests(turns).head()
+    assert time.perf_counter() - began < 60
+    assert (got.n_turns, got.loss_chars) == (20_000, 10_000 * 13)
+    assert got.loss_sha256 == hashlib.sha256(("some words é " * 10_000).encode()).hexdigest()
