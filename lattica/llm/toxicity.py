@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import released, ship_package, slices
 
-BUCKETS, WIDTH, WINDOW, STRIDE = 1 << 18, 8, 16, 8
+BUCKETS, WIDTH, WINDOW, STRIDE = 1 << 18, 8, 48, 24
 GRAMS = (3, 4, 5, 6)
 #: The fit's bounds: texts of each class, and characters of a text that may be one of them.
 PER_CLASS, MOST_CHARS = 2000, 20_000
 THRESHOLD = 0.7
+#: Standard errors at which an n-gram's vector moves at half the rate, and the fewest texts of a class that calibrate.
+HALF_SURE, CALIBRATE = 3.0, 50
 MOST_KNOWN = 400_000
 _WORD = re.compile(r"\w+")
 
@@ -79,9 +81,13 @@ class Model:
         return _means(self.gram[flat].astype(np.float64), starts) if distinct else np.empty(0)
 
 
-def _telling(sequences: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, toxic: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which buckets are worth a vector, and the log odds to start from: those whose share of toxic texts differs from
-    that of clean ones by `sure` standard errors, and which three texts hold. Others stay neutral."""
+def _trust(sequences: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How fast each bucket's vector moves (0 to 1), and the log odds that it starts from.
+
+    The share of toxic texts that hold an n-gram is compared with that of clean ones: the more standard errors lie
+    between them, the faster its vector moves, along a logistic curve. This damps what a rare n-gram learns from the
+    few texts that happen to hold it; none is frozen.
+    """
     holds = np.zeros((2, BUCKETS))
     for s, y in zip(sequences, toxic, strict=True):
         distinct = np.unique(s)
@@ -91,23 +97,54 @@ def _telling(sequences: list[np.ndarray], flat: np.ndarray, starts: np.ndarray,
     clean, bad = holds[0] / n[0], holds[1] / n[1]
     both = holds.sum(0) / n.sum()
     z = (bad - clean) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-    kept = (np.abs(z) >= sure) & (holds.sum(0) >= 3)
+    trust = 1 / (1 + np.exp(-3 * (np.abs(z) - HALF_SURE)))
     odds = np.log((holds[1] + 0.5) / (n[1] + 1)) - np.log((holds[0] + 0.5) / (n[0] + 1))
-    return kept, np.where(kept & (odds > 0), odds, 0.0)
+    return trust, trust * np.maximum(odds, 0.0)
+
 
+def train(texts: list[str], toxic: np.ndarray, seed: int = 7, **how) -> Model:
+    """Fits n-gram vectors and softmax, and calibrates the score where each class has 2 x CALIBRATE texts.
 
-def train(texts: list[str], toxic: np.ndarray, least_steps: int = 500, batch: int = 128, rate: float = 0.3, sure: float = 5.0, seed: int = 7) -> Model:
-    """Jointly fits n-gram vectors (from 0, so unseen n-grams stay neutral) and the softmax over them, by Adagrad."""
-    toxic = np.asarray(toxic, int)
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}  # copies would make chance n-grams look telling
-    texts, toxic = [texts[i] for i in sorted(first.values())], toxic[sorted(first.values())]
+    Copies of a text count once: they would make chance n-grams look telling. To calibrate, each half of the texts is
+    scored by a model of the other half; a logistic curve through these scores gives the scale and the bias.
+    """
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    texts, toxic = [texts[i] for i in sorted(first.values())], np.asarray(toxic, int)[sorted(first.values())]
     if not len(texts) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS, np.float32), -20.0 if not len(texts) or not toxic.max() else 20.0)
+    model = _train(texts, toxic, seed, **how)
+    if np.bincount(toxic).min() < 2 * CALIBRATE:
+        return model
+    half = np.empty(len(texts), int)
+    for y in (0, 1):
+        half[toxic == y] = np.random.default_rng(seed).permutation((toxic == y).sum()) % 2
+    logits = np.empty(len(texts))
+    for h in (0, 1):
+        other = np.flatnonzero(half != h)
+        scorer = _Scorer(_train([texts[i] for i in other], toxic[other], seed, **how))
+        logits[half == h] = scorer.logits([texts[i] for i in np.flatnonzero(half == h)])
+    scale, bias = _logistic(logits, toxic)
+    return Model((model.gram * scale).astype(np.float32), model.bias * scale + bias)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and bias of a logistic curve, by Newton's method, drawn weakly towards (1, 0)."""
+    given, at = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(given @ at, -30, 30)))
+        slope = given.T @ (p - y) + (at - [1.0, 0.0])
+        bend = (given * (p * (1 - p))[:, None]).T @ given + np.eye(2)
+        at = at - np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+    return float(np.clip(at[0], 0.2, 5)), float(at[1])
+
+
+def _train(texts: list[str], toxic: np.ndarray, seed: int, least_steps: int = 250, batch: int = 128, rate: float = 0.3) -> Model:
+    """Jointly fits all n-gram vectors (unseen ones stay neutral, at 0) and the softmax over them, by Adagrad."""
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     sequences = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
     flat, starts = grams(list(index))
-    kept, start = _telling(sequences, flat, starts, toxic, sure)
+    trust, start = _trust(sequences, flat, starts, toxic)
     begins, spans, owner = [], [], []
     offsets = np.cumsum([0, *map(len, sequences)])
     for d, s in enumerate(sequences):
@@ -132,21 +169,20 @@ def train(texts: list[str], toxic: np.ndarray, least_steps: int = 500, batch: in
         vectors = _means(e[ids], ends)
         edges = np.concatenate([[0], np.cumsum(spans[rows])])
         bag = _means(vectors[place], edges)
-        logits = bag @ w.T + b
+        logits = np.einsum("ij,kj->ik", bag, w) + b
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         y = toxic[owner[rows]]
         p[np.arange(len(rows)), y] -= 1
         p *= (0.5 / share[y])[:, None] / len(rows)
-        dw, db, dbag = p.T @ bag, p.sum(0), p @ w
+        dw, db, dbag = np.einsum("ij,ik->jk", p, bag), p.sum(0), np.einsum("ij,jk->ik", p, w)
         per_token = np.repeat(dbag / spans[rows][:, None], spans[rows], axis=0)
         dv = np.stack([np.bincount(place, per_token[:, k], len(distinct)) for k in range(WIDTH)], 1) / counts[:, None]
         spread = np.repeat(dv, counts, axis=0)
         used, where = np.unique(ids, return_inverse=True)
         de = np.stack([np.bincount(where, spread[:, k], len(used)) for k in range(WIDTH)], 1).astype(np.float32)
-        de *= kept[used][:, None]
         ge[used] += de * de
-        e[used] -= rate * de / np.sqrt(ge[used])
+        e[used] -= (rate * trust[used][:, None] * de / np.sqrt(ge[used])).astype(np.float32)
         gw[:] += dw * dw
         w[:] -= rate * 0.2 * dw / np.sqrt(gw)
         gb[:] += db * db
@@ -154,8 +190,8 @@ def train(texts: list[str], toxic: np.ndarray, least_steps: int = 500, batch: in
 
     by_doc = np.searchsorted(owner, np.arange(len(texts) + 1))
     done, epoch = 0, 0
-    while done < least_steps or epoch < 6:
-        score = _means((e @ (w[1] - w[0]))[flat], starts)[tokens]
+    while done < least_steps or epoch < 4:
+        score = _means(np.einsum("ij,j->i", e, w[1] - w[0])[flat], starts)[tokens]
         total = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
         level = (total[begins + spans] - total[begins]) / spans
         chosen = []
@@ -175,7 +211,7 @@ def train(texts: list[str], toxic: np.ndarray, least_steps: int = 500, batch: in
             step(order[at : at + batch], rate)
             done += 1
         epoch += 1
-    return Model((e @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0]))
+    return Model(np.einsum("ij,j->i", e, w[1] - w[0]).astype(np.float32), float(b[1] - b[0]))
 
 
 def held_out(key: Column) -> Column:
@@ -186,7 +222,8 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Learns from at most per_class texts of each class, of at most most_chars characters each, picked by a hash of the key.
 
-    Held-out rows and null labels take no part. Without both classes every score is about 0 (or about 1, if all are toxic).
+    Held-out rows and null labels take no part; a key labelled twice is toxic if one label is, and rows that share a
+    key give one text. Without both classes every score is about 0 (or about 1, if all are toxic).
     """
     spark = docs.sparkSession
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where(~held_out(F.col("key")) & F.col("toxic").isNotNull()).groupBy("key").agg(F.max("toxic").alias("toxic"))
@@ -198,8 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not picks:
         return train([], np.empty(0))
     wanted = F.broadcast(spark.createDataFrame(picks, f"key {dict(marked.dtypes)['key']}, toxic int"))
-    rows = texts.join(wanted, "key").where(F.char_length("text") <= most_chars)
-    rows = rows.orderBy(F.xxhash64("key", F.lit(11)), "key", "text").limit(per_class * 5 // 2).collect()
+    # rows that share a key are one text, so that copies of one key can't fill the sample
+    rows = texts.join(wanted, "key").where(F.char_length("text") <= most_chars).groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.orderBy(F.xxhash64("key", F.lit(11)), "key").collect()  # of the keys picked above
     rows = [r for v in (0, 1) for r in [x for x in rows if x.toxic == v][:per_class]]
     return train([r.text for r in rows], np.array([r.toxic for r in rows]))
 
@@ -210,7 +248,7 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         found = [words(x) for x in texts]
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
@@ -218,12 +256,17 @@ class _Scorer:
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             self.known.update(zip(part, self.model.of_words(part).tolist(), strict=True))
-        logits = np.array([worst_window(np.fromiter(map(self.known.__getitem__, f), float, len(f))) for f in found]) + self.model.bias
-        return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+        return np.array([worst_window(np.fromiter(map(self.known.__getitem__, f), float, len(f))) for f in found]) + self.model.bias
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -50, 50)))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score (0 to 1) of each whole text; only the text matters. Null and empty texts score as the bias alone."""
+    """key and score (0 to 1) of each whole text; only the text matters. Null and empty texts score as the bias alone.
+
+    Repeated rows are scored one by one; a very long text is one task's work, in time in proportion to its words.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)  # a number per bucket

@@ -82,3 +82,27 @@ def test_grams():
     assert tox.grams([])[1].tolist() == [0]
     assert (tox.grams(["ab"])[0] == flat[:3]).all()
     assert tox.worst_window(np.empty(0)) == 0 and tox.worst_window(np.array([1.0, 3.0])) == 2
+
+
+def test_a_new_spelling_scores_by_the_ngrams_it_shares(tables):
+    """No list of words: the vector of an unseen spelling is the mean over its n-grams, and those it shares carry it."""
+    rows, _, _, model = tables
+    seen = {w for _, t, _ in rows for w in tox.words(t)}
+    new, far = "zorgsnibqu", "kkjjwwffpp"
+    assert new not in seen and far not in seen
+    shared = set(tox.grams(["zorgsnib"])[0].tolist())
+    mine = tox.grams([new])[0]
+    of_shared = model.gram[[g for g in mine if g in shared]].sum()
+    assert model.of_words([new])[0] == pytest.approx(model.gram[mine].mean(), rel=1e-5)
+    assert of_shared > 0.9 * model.gram[mine].sum() > 0 and model.of_words([new])[0] > 5 * abs(model.of_words([far])[0])
+    assert (model.gram[tox.grams(sorted(seen))[0]] != 0).mean() > 0.99  # every n-gram that was seen is trained
+
+
+def test_copies_of_a_key_cannot_empty_a_class(spark, tables):
+    _, docs, labels, model = tables
+    key = next(r.doc_id for r in labels.where("toxic = 0").orderBy("doc_id").collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1)
+    one = docs.where(f"doc_id = {key}")
+    many = docs.unionByName(spark.range(6000).crossJoin(one).select(docs.columns))
+    again = tox.fit(many, labels, per_class=500)
+    same = tox.fit(docs, labels, per_class=500)
+    assert (again.gram == same.gram).all() and again.bias == same.bias
