@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, with Spark expressions only.
 
-A document of a source with target t and size s is expected t / s times. The whole part is taken for certain; the rest
-is an inclusion probability p, and a document ranks by its random odds u / (1 - u) divided by its inclusion odds
-p / (1 - p). A source's sample is the first documents by rank whose words fit into its target, and the one document
-whose size comes nearest to the words then lacking.
+A document of a source with target t and size s is expected about t / s times. The whole part is taken for certain; the
+rest is drawn. All documents are ranked in one order, by their random odds u / (1 - u) divided by their inclusion odds.
+These differ between sources, and inside a source by size: p / (1 - p) of the source's remaining part p, divided by
+1 + SPREAD x size / (words the source draws), so that a document which alone is a noticeable part of a draw is rarer in
+it. Each source's sample is the documents up to its place in the order, where its words run out; what its last document
+leaves open goes to the next in the order, one of each power of two of sizes, that still fit.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .common import materialise
 _BITS, _LEVEL = 40, 12
 #: Sources up to which their table is broadcast (some 100 bytes each); beyond it, joins shuffle.
 MOST_BROADCAST = 50_000
+#: A document of 1 / SPREAD of the words that its source draws has half the odds of a small one.
+SPREAD = 50
 
 
 def word_count(text: Column) -> Column:
@@ -52,6 +56,11 @@ def _unit(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def inclusion_odds(part: Column, size: Column, left: Column) -> Column:
+    """The odds of a document, up to a factor that the cut sets for the whole source."""
+    return part / (1 - part) / (1 + SPREAD * size / left)
+
+
 def _small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= MOST_BROADCAST else side
 
@@ -61,8 +70,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Size is the number of words (null or empty text: 0 words, and whatever copies fall to it, 0 words taken). A null
     source is a source of its own, last in order. Ties of rank go by size; rows equal in key and size
-    share their fate. A
-    source without words gets target 0. An empty table gives no rows; other columns are ignored. Texts are read once;
+    share their fate. A source without words gets target 0. A very long text is one document: it is never cut. An empty table gives no rows; other columns are ignored. Texts are read once;
     only (key, source, size, rank) is written to the shared folder. A hot source is never one task: its cut is found
     in histograms of rank, summed before they shuffle, and only the last bucket's rows are ordered.
     """
@@ -77,7 +85,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
     n = targets.count()
     u = _unit(F.col("key"), seed)
-    odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
+    odds = (u / (1 - u)) / inclusion_odds(F.col("part"), F.col("size"), F.col("left"))
     level = lambda shift: F.shiftright("rank", shift).bitwiseAND(F.lit((1 << _LEVEL) - 1)) if shift < _BITS - _LEVEL else F.shiftright("rank", shift)
     t = _small(targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "part", "left"), n)
     ranked = (
@@ -115,16 +123,22 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     below = F.col("cut_b1").isNull() | (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2"))))
     drawn = full.withColumn("drawn", (F.col("part") > 0) & (below | F.col("e_rank").isNotNull()))
     drawn = materialise(drawn.select("key", "source", "size", "source_size", "target", "whole", "part", "left", "rank", "drawn"), "mix-drawn")
-    # the words that the sample lacks at its end: one more document, the one whose size is nearest to them
+    # the words that the sample lacks at its end: the next by rank of each power of two of sizes, large ones first
     lack = drawn.groupBy("source").agg((F.max("left") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("lack")).withColumnRenamed("source", "l_source")
-    open_ = drawn.where("part > 0 and not drawn and size > 0").join(_small(lack, n), F.col("source").eqNullSafe(F.col("l_source")))
-    off = F.abs(F.col("size") - F.col("lack"))
-    filler = open_.where(off < F.col("lack")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "rank", "key", "size")).alias("best"))
-    filler = filler.select(F.col("source").alias("f_source"), F.col("best.key").alias("f_key"), F.col("best.rank").alias("f_rank"), F.col("best.size").alias("f_size"))
-    out = drawn.join(
-        _small(filler, n),
-        F.col("source").eqNullSafe(F.col("f_source")) & F.col("key").eqNullSafe(F.col("f_key")) & (F.col("rank") == F.col("f_rank")) & (F.col("size") == F.col("f_size")),
-        "left",
-    )
+    open_ = drawn.where("part > 0 and not drawn and size > 0").join(_small(lack, n), F.col("source").eqNullSafe(F.col("l_source"))).where("size <= lack")
+    first = open_.groupBy("source", F.floor(F.log2("size")).alias("power")).agg(F.min(F.struct("rank", "size", "key")).alias("next"), F.max("lack").alias("lack"))
+    first = materialise(first.select(F.col("source").alias("f_source"), "lack", *[F.col(f"next.{c}").alias(f"f_{c}") for c in ("rank", "size", "key")]), "mix-next")
+    m = first.count()
+    same = F.col("source").eqNullSafe(F.col("f_source")) & F.col("key").eqNullSafe(F.col("f_key")) & (F.col("rank") == F.col("f_rank")) & (F.col("size") == F.col("f_size"))
+    one = F.struct(F.col("f_size").alias("size"), F.col("f_rank").alias("rank"), F.col("f_key").alias("key"), F.col("n"))
+    queue = open_.drop("lack").join(_small(first, m), same).groupBy("f_source", "lack", "f_size", "f_rank", "f_key").agg(F.count("*").alias("n"))  # rows equal in key and size
+    queue = queue.groupBy("f_source", "lack").agg(F.sort_array(F.collect_list(one), asc=False).alias("queue"))  # a struct per power of two
+    nothing = F.struct(F.col("lack").alias("lack"), F.filter("queue", lambda _: F.lit(False)).alias("taken"))
+    fits = lambda state, x: F.when(
+        x["size"] * x["n"] <= state["lack"], F.struct((state["lack"] - x["size"] * x["n"]).alias("lack"), F.concat(state["taken"], F.array(x)).alias("taken"))
+    ).otherwise(state)
+    taken = queue.select("f_source", F.explode(F.aggregate("queue", nothing, fits)["taken"]).alias("x"))
+    taken = taken.select("f_source", *[F.col(f"x.{c}").alias(f"f_{c}") for c in ("rank", "size", "key")])
+    out = drawn.join(_small(taken, m), same, "left")
     copies = (F.col("whole") + (F.col("drawn") | F.col("f_rank").isNotNull()).cast("long")).cast("long")
     return out.select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

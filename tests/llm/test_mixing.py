@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import mixing
 
@@ -78,7 +80,36 @@ def test_odd_tables(spark):
 
 
 def test_inclusion_follows_odds(spark):
-    docs = spark.createDataFrame([(i, "ab"[i % 2], "w") for i in range(4000)], "doc_id long, source string, text string")
-    got = mixing.mix(docs).collect()
-    share = sum(r.copies for r in got if r.doc_id % 2 == 0) / 2000
-    assert share == pytest.approx(2 / 3, abs=0.001)
+    """400 sources of the same sizes are 400 draws: each size is included as often as its odds, scaled to the draw's words,
+    say, also where they differ between and inside sources."""
+    sizes = [1 + i % 9 for i in range(60)] + [30, 60, 120]
+    docs = spark.range(400 * len(sizes)).select(
+        F.col("id").alias("doc_id"), F.format_string("s%04d", F.floor(F.col("id") / len(sizes))).alias("source"),
+        F.get(F.array(*[F.lit(n) for n in sizes]), (F.col("id") % len(sizes)).cast("int")).alias("n"),
+    ).withColumn("text", F.repeat(F.lit("w "), "n"))
+    got = mixing.mix(docs, weights=(1, 2)).select((F.col("doc_id") % len(sizes)).alias("place"), F.col("source_size"), "target", "copies").toPandas()
+    s = np.array(sizes, float)
+    for share, drawn in got.groupby(got.target < got.source_size):
+        part = 2 / 3 if share else 1 / 3
+        left = part * s.sum()
+        odds = part / (1 - part) / (1 + mixing.SPREAD * s / left)
+        low, high = 1e-3, 1e3
+        for _ in range(100):  # the factor with which the expected words are those to draw
+            c = (low * high) ** 0.5
+            p = c * odds / (1 + c * odds)
+            low, high = (c, high) if (p * s).sum() < left else (low, c)
+        found = (drawn.copies - (0 if share else 1)).groupby(drawn.place).mean().to_numpy()
+        small = s < 10
+        assert np.abs(found - p)[small].max() < 0.16 and abs((found - p)[small].mean()) < 0.03  # 4.5 standard errors of 200 draws
+        by_size = [found[s == n].mean() for n in (1, 9, 30, 120)]
+        assert by_size == sorted(by_size, reverse=True) and by_size[0] > by_size[-1] + 0.15  # unequal, in the order of the odds
+
+
+def test_what_fits_comes_in_order_of_rank(spark):
+    """Without documents that are too long for it, a draw leaves less than its smallest document open."""
+    sizes = [400, 300, 7, 90, 33, 5, 2, 1, 1, 120, 64, 16, 8, 3, 250, 41]
+    docs = spark.createDataFrame([(i * 100 + j, "ab"[i % 2], "w " * n) for i in range(6) for j, n in enumerate(sizes)], "doc_id long, source string, text string")
+    for seed in range(4):
+        got = mixing.mix(docs, seed=seed).toPandas()
+        got = got.groupby(got.doc_id // 100 % 2).agg({"taken": "sum", "target": "max"})
+        assert ((got.target - got.taken) >= -1e-6).all() and ((got.target - got.taken) < 40).all()
