@@ -107,6 +107,17 @@ def test_counts_equal_the_library(docs):
         assert (r.doc_id, len(text.encode()), len(library.encode(text, add_special_tokens=False).ids)) in rows, r
 
 
+def test_pre_tokens_are_counted_once_and_joined(docs, monkeypatch):
+    counted = token_counts.piece_counts(docs, WORDS).collect()
+    distinct = {w for r in docs.collect() for w in token_counts.pre_tokens(r.text or "")}
+    assert {r.word for r in counted} == distinct and len(counted) == len(distinct)
+    assert {r.docs for r in counted if r.word == "the"} == {sum("the" in token_counts.pre_tokens(r.text or "") for r in docs.collect())}
+    want = sorted(map(repr, token_counts.token_counts(docs, WORDS).collect()))
+    for name, value in (("COMMON", 3), ("COMMON_CHARS", 2), ("HELD", 1)):  # nearly all goes by the shuffle, in small parts
+        monkeypatch.setattr(token_counts, name, value)
+    assert sorted(map(repr, token_counts.token_counts(docs, WORDS).collect())) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(none, RANKS).count() == 0 == token_counts.token_counts(none, WORDS).count()
