@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import materialise, ship_package
 SAMPLE, LEAF_ROWS, BRANCHES, MOST_LEAVES = 20_000, 200, 8, 4096
 #: Queries that calibrate, and the share of their true neighbours that must be found.
 CALIBRATE, RECALL = 64, 0.97
+#: Lengths of vectors that one table may hold; each length is searched by itself.
+MOST_LENGTHS = 32
 #: Index rows that a task holds at once, and queries whose best rows it holds before it passes them on.
 BLOCK, HELD = 2048, 50_000
 
@@ -112,18 +115,21 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 def _nearest(block_ids: np.ndarray, block: np.ndarray, query: int, point: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     d = np.sqrt(((block - point) ** 2).sum(1))
     rows = np.flatnonzero(block_ids != query)
-    rows = rows[np.lexsort((block_ids[rows], d[rows]))[:k]]
-    return block_ids[rows], d[rows]
+    return _first(block_ids[rows], d[rows], k)
+
+
+def _first(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids, each with its least distance."""
+    rows = np.lexsort((ids, d))
+    top = rows[:k]
+    if len(np.unique(ids[top])) < len(top):
+        top = rows[np.sort(np.unique(ids[rows], return_index=True)[1])[:k]]
+    return ids[top], d[top]
 
 
 def _better(one: tuple[np.ndarray, np.ndarray] | None, two: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of both, without doubles."""
-    if one is None:
-        return two
-    ids, first = np.unique(np.concatenate([one[0], two[0]]), return_index=True)
-    d = np.concatenate([one[1], two[1]])[first]
-    rows = np.lexsort((ids, d))[:k]
-    return ids[rows], d[rows]
+    """The k best of both."""
+    return two if one is None else _first(np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]]), k)
 
 
 def _passed_on(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -135,21 +141,32 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose key is divisible by `every`.
 
     Score is the Euclidean distance in double precision; ties go to the smaller key; a query never finds its own key.
-    Unusable vectors, null keys and vectors not of the commonest length take no part; an empty table has no rows. Of
-    equal vectors only the k + 1 smallest keys can ever be found, so the index holds no more of them (a limit pushed
-    below the shuffle) and a common vector is no hot leaf. Large leaves are cut into blocks of some BLOCK rows, past
-    which queries stream.
+    Unusable vectors and null keys take no part; an empty table has no rows. A query finds vectors of its own length
+    only, as others have no distance to it; each length has its own index, and more than MOST_LENGTHS are refused.
+    Repeated rows count once. Rows that share a key and differ are one thing with several vectors: two keys are as far
+    apart as their nearest vectors, and each key is found once. Of equal vectors only the k + 1 smallest keys can ever
+    be found, so the index holds no more of them (a limit pushed below the shuffle) and a common vector is no hot leaf.
+    Large leaves are cut into blocks of some BLOCK rows, past which queries stream.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], out)
-    rows = rows.where(F.size("v") == sizes[0]["size"])
+    lengths = [r["size"] for r in rows.select(F.size("v").alias("size")).distinct().orderBy("size").limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    found = [_nearest_of_length(rows.where(F.size("v") == n), k, every, seed) for n in lengths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    hits = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest_of_length(rows: DataFrame, k: int, every: int, seed: int) -> DataFrame:
+    """query_id, vec_id, score: the best k rows of each block that a query visits."""
+    spark = rows.sparkSession
     alike = Window.partitionBy("v").orderBy("id")
-    index = materialise(rows.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
+    index = materialise(rows.dropDuplicates(["id", "v"]).withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     queries = rows.where(F.col("id") % every == 0)
     total = index.count()
 
@@ -220,9 +237,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
         if best:
             yield _passed_on(best)
 
-    hits = both.mapInArrow(matched, "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return both.mapInArrow(matched, "query_id long, vec_id long, score double")
 
 
 def exact(vectors: DataFrame, points: list[tuple[int, list[float]]], k: int) -> DataFrame:

@@ -71,3 +71,23 @@ def test_tree_visits_every_leaf_once():
     tree.finish()
     seen = list(tree.visit(points[3]))
     assert sorted(seen) == list(range(tree.leaves)) and seen[0] == tree.assign(points)[3]
+
+
+def test_lengths_and_repeated_ids(spark):
+    """Vectors of each length find their own kind; an id with two vectors is found once, at the nearer; copies count once."""
+    rng = np.random.default_rng(8)
+    flat = [(i, [float(x) for x in rng.integers(-9, 9, 2)] + [1.0]) for i in range(250)] + [(1000 + i, [float(x) for x in rng.integers(-9, 9, 4)] + [1.0]) for i in range(150)]
+    flat += [(7, [0.5, 0.5, 1.0]), (7, [8.0, 8.5, 1.0]), (100, [9.0, 9.0, 1.0]), (1100, [0.0, 0.5, 1.0])] + flat[:40] * 3
+    got: dict = {}
+    for r in search.nearest(spark.createDataFrame([(i, v, 1) for i, v in flat], SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    for q in {i for i, _ in flat if i % 100 == 0}:
+        best: dict = {}
+        for i, v in flat:
+            for w in [w for j, w in flat if j == q and len(w) == len(v)]:
+                if i != q:
+                    best[i] = min(best.get(i, 1e9), float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())))
+        want = sorted((d, i) for i, d in best.items())[:10]
+        assert [(pytest.approx(d), i) for d, i in want] == [(s, i) for _, s, i in sorted(got[q])], q
+    with pytest.raises(ValueError):
+        search.nearest(spark.createDataFrame([(i, [1.0] * (i + 1), 1) for i in range(40)], SCHEMA))
