@@ -14,7 +14,8 @@ from lattica.llm.queries import BYTE_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold; the classifier learns from the labelled rows that aren't held out."""
+    """Documents whose score is below the threshold; the classifier learns from the labelled rows that aren't held out.
+    Null and empty texts score as the bias alone; repeated rows score alike, and each stays or goes."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, tables(spark, sf_dir, "labels")))
 
 
@@ -27,14 +28,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: no row, one, or several equal ones. Rows that share an id, or have
-    none, are taken as often as the one of them that is taken most."""
-    copies = mixing.mix(docs.select("doc_id", "source", "text")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
+    none, are taken as often as the one of them that is taken most. Columns may have any names: a row travels as one struct."""
+    copies = mixing.mix(docs.select("doc_id", "source", "text")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"))
+    taken = rows.join(copies, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each row's text, as counts and digests."""
+    """The ids of each row's text, as counts and digests: a row for each row, repeats included; a null text has no ids."""
     return bpe.encode(docs, BYTE_BPE, with_ids=False)
 
 
