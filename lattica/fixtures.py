@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.order import number_rows
+from .sources.scratch import scratch, written  # noqa: F401
 
 #: Features of a vertex in the tables; neighbours in a fixed-degree sequence; the modulus that leaves vertices isolated.
 WIDTH, NEIGHBOURS, GAP = 64, 16, 17
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; a local session without one gets a temporary folder."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="lattica-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +35,7 @@ def plain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """eid, dst, src, val: the same in CSR order."""
     n = size(spark, sf_dir)
-    keyed = plain_edges(spark, sf_dir).withColumn("key", F.col("dst") * n + F.col("src"))
+    keyed = written(plain_edges(spark, sf_dir).withColumn("key", F.col("dst") * n + F.col("src")), "edges")
     return number_rows(keyed, "key", "eid").select("eid", "dst", "src", "val")
 
 

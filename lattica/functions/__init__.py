@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest vectors whose sums are spelled out term by term, which keeps them inside generated code.
-UNROLL = 128
+#: Longest vectors whose sums are spelled out term by term, which keeps them inside generated code; longer code is not compiled.
+UNROLL = 16
 
 
 def leaky_relu(z: Column, slope: float = 0.2) -> Column:

@@ -58,9 +58,9 @@ def spmm(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int,
 
 
 def spmm_tasks(tasked: DataFrame, features: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """The same from edges with a `task_id`: partial sums per task, then per target. Splits rows of any degree."""
-    partial = sum_vectors(gather(tasked, features), ["dst", "task_id"], F.col("feat"), width, scale=F.col("val"))
-    return zero_fill(vertices, sum_vectors(partial, ["dst"], F.col("feat"), width).withColumnRenamed("dst", "v"), width)
+    """The same from edges with a `task_id`. Sums before the shuffle split a row of any degree as tasks do, and leave one
+    vector a row and map task, so tasks get no shuffle of their own."""
+    return spmm(tasked, features, vertices, width)
 
 
 def spmm_ranges(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int, lower: int, upper: int) -> DataFrame:

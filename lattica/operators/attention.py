@@ -46,11 +46,8 @@ def edge_softmax(edges: DataFrame, attn: DataFrame, slope: float = 0.2, stable:
 
 def gat_aggregate(edges: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:
     """Attention as a ratio of sums: sum of e * x and sum of e in one pass, divided at the end; 0 for isolated vertices."""
-    of = attn.select(F.col("v").alias("src"), "a_src").join(features.withColumnRenamed("v", "src"), "src")
-    to = attn.select(F.col("v").alias("dst"), "a_dst")
-    e = F.exp(leaky_relu(F.col("a_dst") + F.col("a_src"), slope))
-    rows = edges.select("dst", "src").join(of, "src").join(to, "dst").withColumn("__e", e)
-    return _ratio(rows, vertices, width)
+    scored = edge_scores(edges.select("dst", "src"), attn).select("dst", "src", F.exp(leaky_relu(F.col("z"), slope)).alias("__e"))
+    return _ratio(gather(scored, features), vertices, width)
 
 
 def _ratio(rows: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
@@ -65,13 +62,8 @@ def _ratio(rows: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
 
 
 def gat_tasks(tasked: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:
-    """The same from edges with a task_id: numerators and denominators per task, then per target, then divided."""
-    scored = edge_scores(tasked, attn).withColumn("__e", F.exp(leaky_relu(F.col("z"), slope)))
-    both = F.concat(F.array(F.lit(1.0)), "feat")
-    partial = sum_vectors(gather(scored, features), ["dst", "task_id"], both, width + 1, scale=F.col("__e"))
-    sums = sum_vectors(partial, ["dst"], F.col("feat"), width + 1)
-    divided = sums.select(F.col("dst").alias("v"), F.transform(F.slice("feat", 2, width), lambda x: guarded_divide(x, F.get("feat", F.lit(0)))).alias("feat"))
-    return zero_fill(vertices, divided, width)
+    """The same from edges with a task_id: numerators and denominators are summed per map task and target, then divided."""
+    return gat_aggregate(tasked, features, attn, vertices, width, slope)
 
 
 def gat_composed(edges: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:

@@ -26,20 +26,18 @@ def sddmm(edges: DataFrame, of: DataFrame, to: DataFrame, width: int) -> DataFra
 def edge_mlp(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame, tasks: bool = False) -> DataFrame:
     """y[v] = sum over edges of relu((x[dst] + x[src]) W).
 
-    The product is linear, so every vertex is multiplied once and edges only add. With `tasks`, edges carry a task_id
-    and are summed by it first.
+    The product is linear, so every vertex is multiplied once and edges only add. Edges with a task_id (`tasks`) are
+    summed alike: sums before the shuffle split a row of any degree.
     """
     width = np.asarray(weights).shape[1]
     h = matmul(features, weights)
     rows = both_ends(edges, h, h)
-    keys = ["dst", "task_id"] if tasks else ["dst"]
+    keys = ["dst"]
     if width <= WIDE:
         sums = rows.groupBy(*keys).agg(*[F.sum(relu(F.get("x", F.lit(k)) + F.get("y", F.lit(k)))).alias(f"__{k}") for k in range(width)])
         sums = sums.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).alias("feat"))
     else:
         sums = sum_vectors(rows, keys, F.zip_with("x", "y", lambda a, b: relu(a + b)), width)
-    if tasks:
-        sums = sum_vectors(sums, ["dst"], F.col("feat"), width)
     return zero_fill(vertices, sums.withColumnRenamed("dst", "v"), width)
 
 

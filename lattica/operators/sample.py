@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .order import compacted
 
 
@@ -20,10 +21,13 @@ def expand(active: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def frontier(active: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
-    """layers - 1 expansions; each drops duplicates, so the plan stays a chain of semi-joins."""
-    out = active.select("v").distinct()
+    """layers - 1 expansions. Each hop follows only the vertices that the last one found, and is written, so that the plan
+    grows by one small table a hop."""
+    new = out = active.select("v").distinct()
     for _ in range(layers - 1):
-        out = expand(out, edges)
+        reached = edges.join(new.withColumnRenamed("v", "dst"), "dst", "left_semi").select(F.col("src").alias("v")).distinct()
+        new = written(reached.join(out, "v", "left_anti"), "hop")
+        out = out.unionByName(new)
     return out
 
 
@@ -44,7 +48,7 @@ def chosen_neighbours(edges: DataFrame, limit: int, seed: int = 0) -> DataFrame:
 
 def sampled_subgraph(active: DataFrame, edges: DataFrame, limit: int, layers: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The subgraph of a frontier that follows only chosen neighbours; each vertex keeps the same choice at every layer."""
-    chosen = chosen_neighbours(edges, limit, seed)
+    chosen = written(chosen_neighbours(edges, limit, seed), "chosen")
     return subgraph(frontier(active, chosen, layers), chosen)
 
 

@@ -20,8 +20,16 @@ class Schedule(Enum):
 def tasked(edges: DataFrame, kind: Schedule, vertices: int, parts: int = 1, group: int = 32) -> DataFrame:
     """Adds part (source range), grp (chunk of `group` neighbours) and task_id (dense, by part, dst, grp) to the edges.
 
-    Ranges are vertices // parts wide and the last takes the rest. Rows without edges have no task.
+    Ranges are vertices // parts wide and the last takes the rest. Rows without edges have no task. `eid` is the CSR
+    position, so without ranges an edge's place in its row is its distance from the row's first edge: a row of any
+    degree is not sorted in one task.
     """
+    if kind is Schedule.NEIGHBOR_GROUPING:
+        ends = edges.groupBy("dst").agg(F.min("eid").alias("__begin"), (F.floor((F.max("eid") - F.min("eid")) / group) + 1).alias("__n"))
+        first = exclusive_prefix(ends, "dst", "__n", "__first").select("dst", "__begin", "__first")
+        grp = F.floor((F.col("eid") - F.col("__begin")) / group).cast("long")
+        rows = edges.join(first, "dst").withColumn("part", F.lit(0).cast("long")).withColumn("grp", grp)
+        return rows.withColumn("task_id", F.col("__first") + F.col("grp")).drop("__begin", "__first")
     ranged = kind in (Schedule.LOCALITY, Schedule.LOCALITY_NEIGHBOR_GROUPING)
     chunked = kind in (Schedule.NEIGHBOR_GROUPING, Schedule.LOCALITY_NEIGHBOR_GROUPING)
     width = max(1, vertices // parts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.attention import attention_pair, gat_aggregate
 from ..operators.dense import matmul
 from ..operators.lstm import sage_lstm
+from ..sources.scratch import written
 from .rewrite import Linear
 
 
@@ -29,12 +30,15 @@ def gcn(edges: DataFrame, features: DataFrame, vertices: DataFrame, layers: list
 
 def gat_layer(edges: DataFrame, features: DataFrame, vertices: DataFrame, weights: np.ndarray, attention: np.ndarray, slope: float = 0.2) -> DataFrame:
     """H = X W, scores H a (a column for receivers, one for sources), attention-weighted sums of H."""
-    h = matmul(features, weights)
+    h = written(matmul(features, weights), "layer")
     pair = attention_pair(h, list(attention[:, 0]), list(attention[:, 1]))
     return gat_aggregate(edges, h, pair, vertices, np.asarray(weights).shape[1], slope)
 
 
 def gat(edges: DataFrame, features: DataFrame, vertices: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], slope: float = 0.2) -> DataFrame:
+    """Layers in turn; each layer's product is written, as scores and sums read it three times."""
+    if len(layers) > 1:
+        edges = written(edges, "edges")
     for weights, attention in layers:
         features = gat_layer(edges, features, vertices, weights, attention, slope)
     return features
