@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -45,3 +47,9 @@ def test_query(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_without_sql(spark, name):
     assert queries.queries()[name](spark, DATA).count() > 0
+
+
+def test_entry_without_the_vocabulary_files(tmp_path):
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'gcn_layer' in e.queries() and not any(q.startswith('op') for q in e.queries())"
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.abspath(__spark_entry__.__file__))}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=tmp_path, timeout=120)
