@@ -28,7 +28,7 @@ from .token_counts import WHITE
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: Entries after which a task's table of encoded words starts anew; results don't depend on it.
-MOST_KNOWN = 350_000
+MOST_KNOWN = 200_000
 #: Of these, the first, which are the commonest, that stay for the worker's next task.
 KEPT = 100_000
 
@@ -123,7 +123,7 @@ class Encoder:
         """Starts a database with the tables; a task closes it again, since workers outlive tasks. It writes no files."""
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         for name, table in self.tables.items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -288,7 +288,7 @@ def encoder(ranks: dict[bytes, int]) -> Encoder:
 def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 1_500_000):
             raw = own.encode([x or "" for x in batch.column("text").to_pylist()])
             ids = [np.frombuffer(x, "<u4") for x in raw]
             decoded = []
