@@ -43,7 +43,7 @@ def _long(features: DataFrame, out: str = "y", digits: int | None = None) -> Dat
 N = "n AS (SELECT count(*) AS n FROM embeddings)"
 V = "vs AS (SELECT vec_id AS v FROM embeddings)"
 E = f"""{N}, e AS (SELECT row_number() OVER (ORDER BY dst, src) - 1 AS eid, dst, src, count(*)::DOUBLE AS val FROM (
-  SELECT l_partkey % n AS dst, (l_orderkey * 7 + l_suppkey) % n AS src FROM lineitem, n) t WHERE dst % {fx.GAP} <> 3 GROUP BY dst, src)"""
+  SELECT l_partkey % n - (l_partkey % n % {fx.GAP} = 3)::BIGINT AS dst, (l_orderkey * 7 + l_suppkey) % n AS src FROM lineitem, n) t GROUP BY dst, src)"""
 
 
 def _x(width: int = fx.WIDTH, name: str = "x") -> str:
@@ -164,30 +164,19 @@ def full_graph(spark, d):
 # --- gathers, edge expressions, filters -----------------------------------------------------------------------------
 
 
-@query(_with("SELECT eid, k, x FROM e JOIN x ON x.v = src", E, _x(8)))
-def gather(spark, d, width=8):
-    return aggregate.gather(fx.edges(spark, d), fx.features(spark, d, width)).select("eid", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+@query(_with("SELECT eid, k, x FROM e JOIN x ON x.v = src", E, _x()))
+def gather(spark, d):
+    return aggregate.gather(fx.edges(spark, d), fx.features(spark, d)).select("eid", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
 
 
-@query()
-def gather_whole(spark, d):
-    """This and the other queries named _whole take whole vectors; their SQL twins hold a prefix."""
-    return gather(spark, d, fx.WIDTH)
-
-
-@query(_with("SELECT dst, step, k, x FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY eid) - 1 AS step FROM e) s JOIN x ON x.v = src", E, _x(8)))
-def gather_steps(spark, d, width=8):
-    return aggregate.gather_steps(fx.edges(spark, d), fx.features(spark, d, width)).select("dst", "step", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
+@query(_with("SELECT dst, step, k, x FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY eid) - 1 AS step FROM e) s JOIN x ON x.v = src", E, _x()))
+def gather_steps(spark, d):
+    return aggregate.gather_steps(fx.edges(spark, d), fx.features(spark, d)).select("dst", "step", F.posexplode("feat").alias("k", "x")).withColumn("k", F.col("k").cast("long"))
 
 
-@query()
-def gather_steps_whole(spark, d):
-    return gather_steps(spark, d, fx.WIDTH)
-
-
-def _pair(spark, d, width=fx.WIDTH):
-    a = fx.attention(width)
-    return attention.attention_pair(fx.features(spark, d, width), list(a[:, 0]), list(a[:, 1]))
+def _pair(spark, d):
+    a = fx.attention(fx.WIDTH)
+    return attention.attention_pair(fx.features(spark, d), list(a[:, 0]), list(a[:, 1]))
 
 
 @query(_with("SELECT eid, dst, src, z FROM sc", E, _x(), _attn(), _scores(None)))
@@ -216,17 +205,12 @@ def activations(spark, d):
     return rows.select("v", "k", (leaky_relu(x, 0.25) + F.lit(0.0)).alias("leaky"), (relu(x) + F.lit(0.0)).alias("relu"), six(F.exp(x)).alias("e"), six(logistic(x)).alias("logistic"), six(tanh(x)).alias("tanh"))
 
 
-@query(_with("SELECT eid, k, val * x AS m FROM e JOIN x ON x.v = src", E, _x(8)))
-def edge_message(spark, d, width=8):
-    rows = aggregate.gather(fx.edges(spark, d), fx.features(spark, d, width))
+@query(_with("SELECT eid, k, val * x AS m FROM e JOIN x ON x.v = src", E, _x()))
+def edge_message(spark, d):
+    rows = aggregate.gather(fx.edges(spark, d), fx.features(spark, d))
     return rows.select("eid", F.posexplode(F.transform("feat", lambda x: x * F.col("val"))).alias("k", "m")).withColumn("k", F.col("k").cast("long"))
 
 
-@query()
-def edge_message_whole(spark, d):
-    return edge_message(spark, d, fx.WIDTH)
-
-
 @query(_with("SELECT eid, dst, src, CASE WHEN eid % 2 = 0 THEN eid / 4.0e0 ELSE val END AS val FROM e", E))
 def update_values(spark, d):
     edges = fx.edges(spark, d)
@@ -405,16 +389,11 @@ def dense_matmul(spark, d):
     return _long(dense.matmul(fx.features(spark, d), fx.weights(fx.WIDTH, 32)))
 
 
-@query(_with("SELECT v, k AS o, x AS y FROM h", _x(16), _w(16, 8), _mm("x", "w", "h")))
-def dense_matmul_long(spark, d, width=16):
-    w = fx.weights(width, 8)
-    table = spark.createDataFrame([(i, o, float(w[i, o])) for i in range(width) for o in range(8)], "i long, o long, w double")
-    return dense.matmul_long(aggregate.to_long(fx.features(spark, d, width)), table)
-
-
-@query()
-def dense_matmul_long_whole(spark, d):
-    return dense_matmul_long(spark, d, fx.WIDTH)
+@query(_with("SELECT v, k AS o, x AS y FROM h", _x(), _w(fx.WIDTH, 8), _mm("x", "w", "h")))
+def dense_matmul_long(spark, d):
+    w = fx.weights(fx.WIDTH, 8)
+    table = spark.createDataFrame([(i, o, float(w[i, o])) for i in range(fx.WIDTH) for o in range(8)], "i long, o long, w double")
+    return dense.matmul_long(aggregate.to_long(fx.features(spark, d)), table)
 
 
 @query("SELECT count(*) AS n_active FROM embeddings WHERE vec_id % 3 = 0")
@@ -432,28 +411,16 @@ def degree_capped(spark, d):
     return aggregate.degrees(fx.plain_edges(spark, d), fx.vertices(spark, d), 16)
 
 
-SETS = "s AS (SELECT DISTINCT l_partkey AS v, l_suppkey AS u FROM lineitem WHERE l_partkey < 300), c AS (SELECT v, count(*) AS n FROM s GROUP BY v), p AS (SELECT x.v AS a, y.v AS b, count(*) AS common FROM s x JOIN s y ON x.u = y.u AND x.v < y.v GROUP BY ALL), j AS (SELECT a, b, common, common / (ca.n + cb.n - common) AS jaccard FROM p JOIN c ca ON ca.v = a JOIN c cb ON cb.v = b)"
+SETS = "s AS (SELECT DISTINCT l_partkey AS v, l_suppkey AS u FROM lineitem), c AS (SELECT v, count(*) AS n FROM s GROUP BY v), p AS (SELECT x.v AS a, y.v AS b, count(*) AS common FROM s x JOIN s y ON x.u = y.u AND x.v < y.v GROUP BY ALL), j AS (SELECT a, b, common, common / (ca.n + cb.n - common) AS jaccard FROM p JOIN c ca ON ca.v = a JOIN c cb ON cb.v = b)"
 
 
 @query(_with("SELECT a, b, common, round(jaccard, 9) + 0.0 AS jaccard FROM j", SETS))
 def jaccard_pairs(spark, d):
-    return reorder.jaccard_pairs(fx.first_neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
+    return reorder.jaccard_pairs(fx.neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
 
 
 @query(_with("SELECT a, b, round(jaccard, 9) + 0.0 AS jaccard FROM j ORDER BY j.jaccard DESC, a, b LIMIT 100", SETS))
 def pair_queue(spark, d):
-    return reorder.queue(reorder.jaccard_pairs(fx.first_neighbour_sets(spark, d)), 100).select("a", "b", (F.round("jaccard", 9) + F.lit(0.0)).alias("jaccard"))
-
-
-@query()
-def jaccard_pairs_whole(spark, d):
-    """jaccard_pairs over all parts; its SQL twin holds the first ones only."""
-    return reorder.jaccard_pairs(fx.neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
-
-
-@query()
-def pair_queue_whole(spark, d):
-    """pair_queue over all parts."""
     return reorder.queue(reorder.jaccard_pairs(fx.neighbour_sets(spark, d)), 100).select("a", "b", (F.round("jaccard", 9) + F.lit(0.0)).alias("jaccard"))
 
 
@@ -497,40 +464,30 @@ def validate_reordered(spark, d):
 
 @query(_with(
     "SELECT f.v, f.k, round(f.x, 6) + 0.0 AS d_x FROM f",
-    E, _x(8), _attn(), _scores(), "q AS (SELECT eid, dst, src, z / sum(z) OVER (PARTITION BY dst) AS p FROM sc)",
+    E, _x(), _attn(), _scores(), "q AS (SELECT eid, dst, src, z / sum(z) OVER (PARTITION BY dst) AS p FROM sc)",
     "f AS (SELECT src AS v, k, sum(p * x) AS x FROM q JOIN x ON x.v = dst GROUP BY src, k)",
 ))
-def gat_backward(spark, d, width=8):
-    x = fx.features(spark, d, width)
-    d_feat, _ = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, width), x, width)
+def gat_backward(spark, d):
+    x = fx.features(spark, d)
+    d_feat, _ = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d), x, fx.WIDTH)
     return _long(d_feat, "d_x", 6)
 
 
-@query()
-def gat_backward_whole(spark, d):
-    return gat_backward(spark, d, fx.WIDTH)
-
-
 @query(_with(
     "SELECT coalesce(a.v, b.v) AS v, round(coalesce(a.g, 0), 6) + 0.0 AS d_dst, round(coalesce(b.g, 0), 6) + 0.0 AS d_src FROM a FULL JOIN b ON a.v = b.v",
-    E, _x(8), _attn(), _scores(None, out="raw"), "sc AS (SELECT eid, dst, src, z, exp(greatest(z, 0.2::DOUBLE * z)) AS ez FROM raw)",
+    E, _x(), _attn(), _scores(None, out="raw"), "sc AS (SELECT eid, dst, src, z, exp(greatest(z, 0.2::DOUBLE * z)) AS ez FROM raw)",
     "q AS (SELECT *, ez / sum(ez) OVER (PARTITION BY dst) AS p FROM sc)",
     "i AS (SELECT eid, sum(s.x * t.x) AS g FROM q JOIN x s ON s.v = src JOIN x t ON t.v = dst AND t.k = s.k GROUP BY eid)",
     "m AS (SELECT q.*, g, sum(p * g) OVER (PARTITION BY dst) AS mean FROM q JOIN i USING (eid))",
     "dz AS (SELECT dst, src, p * (g - mean) * CASE WHEN z < 0 THEN 0.2::DOUBLE ELSE 1 END AS dz FROM m)",
     "a AS (SELECT dst AS v, sum(dz) AS g FROM dz GROUP BY dst), b AS (SELECT src AS v, sum(dz) AS g FROM dz GROUP BY src)",
 ))
-def gat_backward_scores(spark, d, width=8):
-    x = fx.features(spark, d, width)
-    _, d_attn = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d, width), x, width)
+def gat_backward_scores(spark, d):
+    x = fx.features(spark, d)
+    _, d_attn = attention.gat_backward(fx.plain_edges(spark, d), x, _pair(spark, d), x, fx.WIDTH)
     return d_attn.select("v", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("d_dst", "d_src")])
 
 
-@query()
-def gat_backward_scores_whole(spark, d):
-    return gat_backward_scores(spark, d, fx.WIDTH)
-
-
 # --- prefix sums and positions --------------------------------------------------------------------------------------
 
 
@@ -709,26 +666,26 @@ def dense_only(spark, d):
 
 
 #: Hidden and input width of the LSTM queries.
-HIDDEN = 8
-_U = "[" + ", ".join(repr(float(x)) + "e0" for x in fx.recurrent(HIDDEN).ravel()) + "]::DOUBLE[]"
+HIDDEN = fx.WIDTH
 _SIG = "(1 / (1 + exp(-z[{}])))"
 LSTM = _with(
     f"SELECT v, unnest(range({HIDDEN}))::BIGINT AS k, round(unnest(h), 6) + 0.0 AS y FROM st WHERE t = {fx.NEIGHBOURS}",
     E, _x(HIDDEN), _w(HIDDEN, 4 * HIDDEN), "gl AS (SELECT v, list(y ORDER BY o) AS g FROM (SELECT v, o, sum(x * w) AS y FROM x JOIN w ON k = i GROUP BY v, o) GROUP BY v)",
+    f"u AS (SELECT list(r ORDER BY o) AS r FROM (SELECT o, list(((i * 13 + o * 7) % 17 - 8) / 32.0e0 ORDER BY i) AS r FROM range({HIDDEN}) a(i), range({4 * HIDDEN}) b(o) GROUP BY o))",
     f"nb AS (SELECT dst, src, rn FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS rn, count(*) OVER (PARTITION BY dst) AS c FROM e) t WHERE rn <= {fx.NEIGHBOURS} AND c >= {fx.NEIGHBOURS})",
     f"""st(v, t, h, c) AS (
       SELECT DISTINCT dst, 0, list_transform(range({HIDDEN}), lambda i: 0.0::DOUBLE), list_transform(range({HIDDEN}), lambda i: 0.0::DOUBLE) FROM nb
       UNION ALL
       SELECT v, t, list_transform(range({HIDDEN}), lambda j: {_SIG.format('j + 1')} * ((exp(2 * c[j + 1]) - 1) / (exp(2 * c[j + 1]) + 1))), c FROM (
         SELECT v, t, z, list_transform(range({HIDDEN}), lambda j: {_SIG.format(f'{2 * HIDDEN} + j + 1')} * c[j + 1] + {_SIG.format(f'{3 * HIDDEN} + j + 1')} * tanh(z[{HIDDEN} + j + 1])) AS c FROM (
-          SELECT st.v, st.t + 1 AS t, st.c, list_transform(range({4 * HIDDEN}), lambda o: g[o + 1] + list_sum(list_transform(range({HIDDEN}), lambda i: st.h[i + 1] * ({_U})[i * {4 * HIDDEN} + o + 1]))) AS z
-          FROM st JOIN nb ON nb.dst = st.v AND nb.rn = st.t + 1 JOIN gl ON gl.v = nb.src)))""",
+          SELECT st.v, st.t + 1 AS t, st.c, list_transform(list_zip(g, r), lambda p: p[1] + list_dot_product(st.h, p[2])) AS z
+          FROM st JOIN nb ON nb.dst = st.v AND nb.rn = st.t + 1 JOIN gl ON gl.v = nb.src, u)))""",
     recursive=True,
 )
 
 
-def _lstm(spark, d, bypass, width=HIDDEN):
-    out = lstm.sage_lstm(fx.edges(spark, d), fx.features(spark, d, width), fx.weights(width, 4 * width), fx.recurrent(width), fx.NEIGHBOURS, bypass)
+def _lstm(spark, d, bypass):
+    out = lstm.sage_lstm(fx.edges(spark, d), fx.features(spark, d, HIDDEN), fx.weights(HIDDEN, 4 * HIDDEN), fx.recurrent(HIDDEN), fx.NEIGHBOURS, bypass)
     return _long(out, digits=6)
 
 
@@ -742,16 +699,6 @@ def sage_lstm_bypass(spark, d):
     return _lstm(spark, d, True)
 
 
-@query()
-def sage_lstm_base_whole(spark, d):
-    return _lstm(spark, d, False, fx.WIDTH)
-
-
-@query()
-def sage_lstm_bypass_whole(spark, d):
-    return _lstm(spark, d, True, fx.WIDTH)
-
-
 # --- timings and logs -----------------------------------------------------------------------------------------------
 
 TIMERS = "tm AS (SELECT l_orderkey * 8 + l_linenumber AS task_id, l_suppkey % 80 AS slot, l_orderkey * 1000 AS begin_ns, l_orderkey * 1000 + (l_quantity * 100)::BIGINT + l_linenumber AS end_ns FROM lineitem)"
