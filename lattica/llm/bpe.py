@@ -27,10 +27,12 @@ from .token_counts import WHITE
 #: The split of GPT-2, with White_Space spelled out: `regex` also counts 1C to 1F as \s.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
-#: Entries after which a task's table of encoded words starts anew; results don't depend on it.
+#: Encoded words after which a task's table goes back to its first KEPT; results don't depend on it.
 MOST_KNOWN = 200_000
-#: Of these, the first, which are the commonest, that stay for the worker's next task.
+#: Of these, the first, which are the commonest; they stay for the worker's next task, too.
 KEPT = 100_000
+#: Segments (of at most WINDOW bytes) whose ids a worker remembers, for words that share them; results don't depend on it.
+MOST_SOLVED = 200_000
 
 #: Bytes of a window. Longer segments are solved in windows that overlap by half; results don't depend on it.
 WINDOW = 64
@@ -94,7 +96,7 @@ class Encoder:
     """Encodes distinct words of texts, remembers their ids (little-endian uint32), and decodes lists of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.ids = ranks, {}
+        self.ranks, self.ids, self.solved = ranks, {}, {}
         order = sorted(ranks.values())
         if order[-1] >= 1 << 16:
             raise ValueError("pair keys hold ids below 65,536")
@@ -162,8 +164,11 @@ class Encoder:
         segments = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         distinct = dict.fromkeys(segments)
         long = [x for x in distinct if len(x) > WINDOW]
-        solved: dict[bytes, bytes] = {}
-        self._solve([x for x in distinct if len(x) <= WINDOW] + [x[a : a + WINDOW] for x in long for a in _grid(len(x))], solved)
+        wanted = dict.fromkeys([x for x in distinct if len(x) <= WINDOW] + [x[a : a + WINDOW] for x in long for a in _grid(len(x))])
+        solved = {x: ids for x in wanted if (ids := self.solved.get(x)) is not None}
+        self._solve([*wanted], solved)
+        if len(self.solved) < MOST_SOLVED:
+            self.solved.update(islice(solved.items(), MOST_SOLVED - len(self.solved)))
         whole = {x: self._stitched(x, solved) for x in long}
         firsts = [*np.flatnonzero(np.diff(owner, prepend=-1)).tolist(), len(segments)]
         for i, a, b in zip(part, firsts, firsts[1:], strict=False):
@@ -230,7 +235,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.ids) > MOST_KNOWN:
-            self.ids.clear()
+            self.ids = dict(islice(self.ids.items(), KEPT))
         cut = list(map(words_of, texts))
         self.learn(list(set(chain.from_iterable(cut)).difference(self.ids)))
         return [b"".join(map(self.ids.__getitem__, c)) for c in cut]
