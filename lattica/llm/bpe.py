@@ -28,9 +28,9 @@ from .token_counts import WHITE
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _BLANK = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 #: Encoded words after which a task's table goes back to its first KEPT; results don't depend on it.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 300_000
 #: Of these, the first, which are the commonest; they stay for the worker's next task, too.
-KEPT = 100_000
+KEPT = 200_000
 #: Segments (of at most WINDOW bytes) whose ids a worker remembers, for words that share them; results don't depend on it.
 MOST_SOLVED = 200_000
 
