@@ -1,0 +1,83 @@
+"""op11's trie against a walk over explicit prefixes."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from lattica.llm import prefix_trie
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string, k1 string, conv string"
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+TURNS = st.lists(
+    st.tuples(st.one_of(st.none(), st.sampled_from([-21, -20, -3, 0, 1, 2, 3, 5, 17, 20, 23, 24, 39])), st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.sampled_from(["user", "assistant"])), st.one_of(st.none(), st.sampled_from(["", "a", "a b", "a  b\tc", "x y z", " "]))),
+    max_size=40,
+)
+
+
+def brute(rows):
+    own = {}
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own.setdefault(c, []).append((r or "", x or ""))
+    whole = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(c - 20 * int(c / 20))
+        whole[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    nodes = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    out = []
+    for key, members in nodes.items():
+        below = [k for k in nodes if k[: len(key)] == key]
+        children = lambda k: [n for n in nodes if len(n) == len(k) + 1 and n[: len(k)] == k]
+        saved = sum((len(nodes[k]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) for k in below if k)
+        ends = ",".join(map(str, sorted(c for c in members if len(whole[c]) == len(key))))
+        out.append((min(members), len(key), min(nodes[key[:-1]]) if key else None, len(members), len(children(key)), sum(not children(k) for k in below), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def trie(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    return sorted((tuple(r) for r in prefix_trie.rebuilt_trie(frame.select("*")).select(*COLUMNS).collect()), key=repr)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(TURNS)
+def test_against_brute_force(spark, rows):
+    assert trie(spark, rows) == brute(rows)
+
+
+def test_common_beginnings_copies_and_small_blocks(spark, monkeypatch):
+    """Many copies and one common first turn: lists of ends span blocks and ranges, and heavy parents and light ones meet."""
+    monkeypatch.setattr(prefix_trie, "IDS", 7)
+    monkeypatch.setattr(prefix_trie, "HEAVY", 3)
+    rows = [(c, 0, "system", "you are") for c in range(120)]
+    rows += [(c, 1, "user", f"hello {c % 11}") for c in range(120) if c % 3] + [(c, t, "user", "a b c") for c in range(100, 120) for t in (2, 3, 3)]
+    assert trie(spark, rows) == brute(rows)
+
+
+def test_empty_and_long(spark):
+    assert trie(spark, []) == []
+    assert trie(spark, [(None, 0, "user", "x")]) == []
+    rows = [(1, t, "user", "w " * 3) for t in range(700)] + [(2, 0, "user", "word " * 300_000)]
+    lost = sum(zlib.crc32(str(c).encode()) % 4 for c in (1, 2))  # without a base nothing is lent for them
+    got = trie(spark, rows)
+    assert 701 - lost <= len(got) - 1 <= 701 and {r[5] for r in got if r[1] == 0} == {1 + (zlib.crc32(b"2") % 4 == 0)}
+
+
+def test_another_key_for_equal_prefixes_stops_the_job(spark):
+    """Members of a node that disagree on their last turn are found, not merged."""
+    schema = "depth long, k1 long, k2 long, p1 long, p2 long, conv long, digest binary, tail long, ends boolean"
+    rows = [(1, 5, 5, 0, 0, 1, b"a", 1, True), (1, 5, 5, 0, 0, 2, b"b", 1, True)]
+    with pytest.raises(PySparkException, match="share a key"):
+        prefix_trie._nodes(spark.createDataFrame(rows, schema)).collect()
+    assert prefix_trie._nodes(spark.createDataFrame(rows[:1], schema)).select(F.col("n_convs")).head()[0] == 1
