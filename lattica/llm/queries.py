@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, neardup, prefix_trie, search, shards, structure_repair, token_counts, toxicity, warc
+from . import bpe, chat, fingerprints, mixing, neardup, pii, prefix_trie, search, shards, structure_repair, token_counts, toxicity, warc
 from .common import new_folder, tables
 
 #: Vocabulary files; any of the same kind will do.
@@ -72,6 +72,11 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.repair(turns, keep_turns=False).withColumnRenamed("conv", "conv_id")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
 OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS x FROM p),
@@ -195,7 +200,7 @@ FROM z LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM z.conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_fingerprints": op1_fingerprints, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_token_shards": op8_token_shards, "op9_nearest": op9_nearest, "op10_chat": op10_chat,
-            "op11_prefix_trie": op11_prefix_trie, "op12_structure_repair": op12_structure_repair}
+            "op11_prefix_trie": op11_prefix_trie, "op12_structure_repair": op12_structure_repair, "op13_pii": op13_pii}
 
 
 def oracle_sql() -> dict[str, str]:
