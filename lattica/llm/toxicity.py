@@ -139,10 +139,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _train(texts: list[str], toxic: np.ndarray, seed: int, least_steps: int = 250, batch: int = 128, rate: float = 0.3) -> Model:
-    """Jointly fits all n-gram vectors (unseen ones stay neutral, at 0) and the softmax over them, by Adagrad."""
+    """Jointly fits all n-gram vectors (unseen ones stay neutral, at 0) and the softmax over them, by Adagrad. Texts without
+    words teach nothing; if all are such, every score is one half."""
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     sequences = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
+    if not index:  # no word to learn from: what is left is the bias, even as both classes weigh the same
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     flat, starts = grams(list(index))
     trust, start = _trust(sequences, flat, starts, toxic)
     begins, spans, owner = [], [], []

@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from lattica.llm import queries
 from lattica.llm import toxicity as tox
 
 
@@ -106,3 +108,23 @@ def test_copies_of_a_key_cannot_empty_a_class(spark, tables):
     again = tox.fit(many, labels, per_class=500)
     same = tox.fit(docs, labels, per_class=500)
     assert (again.gram == same.gram).all() and again.bias == same.bias
+
+
+def test_labelled_texts_without_words(spark, tmp_path):
+    """A fit that finds no word, in one class or in both, gives defined scores, through op6 and the pipeline too."""
+    for texts, labels in ((["", "!"], [0, 1]), ([None, ""], [0, 1]), (["...", "a bad word"], [0, 1]), (["good words", None], [0, 1]), (["?"] * 3 + ["!"], [0, 0, 0, 1])):
+        got = tox._Scorer(tox.train(texts, np.array(labels)))(["", None, "a bad word", "good"])
+        assert ((got >= 0) & (got <= 1)).all() and got[0] == got[1]
+    assert tox._Scorer(tox.train(["", "!"], np.array([0, 1])))(["x"])[0] == 0.5
+    half = tox.train([f"{'!' * i}" for i in range(1, 130)] + [f"{'?' * i}" for i in range(1, 130)], np.array([0] * 129 + [1] * 129))  # calibrated
+    assert 0 < tox._Scorer(half)(["x"])[0] < 1
+    seen = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, "!?"[i % 2] * (i // 2) or None, "en", "a", 1) for i in range(40)] + [(99, "some words of a text", "en", "a", 20)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, n % 2) for n, i in enumerate(seen)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == 41 and all(r.score == 0.5 and r.predicted == 0 for r in rows)
+    assert 99 in {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
