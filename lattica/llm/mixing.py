@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, with Spark expressions only.
 
-A document of a source with target t and size s is expected about t / s times. The whole part is taken for certain; the
-rest is drawn. All documents are ranked in one order, by their random odds u / (1 - u) divided by their inclusion odds.
-These differ between sources, and inside a source by size: p / (1 - p) of the source's remaining part p, divided by
-1 + SPREAD x size / (words the source draws), so that a document which alone is a noticeable part of a draw is rarer in
-it. Each source's sample is the documents up to its place in the order, where its words run out; what its last document
-leaves open goes to the next in the order, one of each power of two of sizes, that still fit.
+A document of a source with target t and size s is expected t / s times. The whole part is taken for certain; the rest is
+drawn. Documents are ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), where p is the
+part of its source that remains to be drawn: unequal between sources, and equal inside one unless a column of weights
+says otherwise. No other number enters, so odds are the same in small and large tables. Ranks of all sources are on one
+scale, on which a sample ends near 1; to hold each source to its words, its own sample ends where they run out. What its
+last document leaves open goes to the next by rank, one of each power of two of sizes, that still fit. Only a document too
+long for the words that its source has left at that place is taken less often than p.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from .common import materialise
 _BITS, _LEVEL = 40, 12
 #: Sources up to which their table is broadcast (some 100 bytes each); beyond it, joins shuffle.
 MOST_BROADCAST = 50_000
-#: A document of 1 / SPREAD of the words that its source draws has half the odds of a small one.
-SPREAD = 50
 
 
 def word_count(text: Column) -> Column:
@@ -56,25 +55,27 @@ def _unit(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def inclusion_odds(part: Column, size: Column, left: Column) -> Column:
-    """The odds of a document, up to a factor that the cut sets for the whole source."""
-    return part / (1 - part) / (1 + SPREAD * size / left)
+def inclusion_odds(part: Column, weight: Column) -> Column:
+    """The odds of a document of a source of which `part` is drawn; the cut sets a factor for the whole source."""
+    return part / (1 - part) * weight
 
 
 def _small(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= MOST_BROADCAST else side
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 20240229) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 20240229, favour: str | None = None) -> DataFrame:
     """key, size, source_size, target, copies, taken of each row: how often the mix holds a document, and its words.
 
     Size is the number of words (null or empty text: 0 words, and whatever copies fall to it, 0 words taken). A null
     source is a source of its own, last in order. Ties of rank go by size; rows equal in key and size
-    share their fate. A source without words gets target 0. A very long text is one document: it is never cut. An empty table gives no rows; other columns are ignored. Texts are read once;
+    share their fate. `favour` names a column of positive numbers by which a document's odds of being drawn are
+    multiplied, among those of its source (null, zero or less: 1). A source without words gets target 0. A very long text is one document: it is never cut. An empty table gives no rows; other columns are ignored. Texts are read once;
     only (key, source, size, rank) is written to the shared folder. A hot source is never one task: its cut is found
     in histograms of rank, summed before they shuffle, and only the last bucket's rows are ordered.
     """
-    light = materialise(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "mix")
+    favoured = F.lit(1.0) if favour is None else F.when(F.col(favour) > 0, F.col(favour).cast("double")).otherwise(F.lit(1.0))
+    light = materialise(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), favoured.alias("favour")), "mix")
     targets = allocate(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     targets = materialise(
         targets.withColumn("expected", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0))
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
     n = targets.count()
     u = _unit(F.col("key"), seed)
-    odds = (u / (1 - u)) / inclusion_odds(F.col("part"), F.col("size"), F.col("left"))
+    odds = (u / (1 - u)) / inclusion_odds(F.col("part"), F.col("favour"))
     level = lambda shift: F.shiftright("rank", shift).bitwiseAND(F.lit((1 << _LEVEL) - 1)) if shift < _BITS - _LEVEL else F.shiftright("rank", shift)
     t = _small(targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "part", "left"), n)
     ranked = (
