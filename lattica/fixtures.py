@@ -36,9 +36,7 @@ def plain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """eid, dst, src, val: the same in CSR order."""
-    n = size(spark, sf_dir)
-    keyed = written(plain_edges(spark, sf_dir).withColumn("key", F.col("dst") * n + F.col("src")), "edges")
-    return number_rows(keyed, "key", "eid").select("eid", "dst", "src", "val")
+    return number_rows(plain_edges(spark, sf_dir), ["dst", "src"], "eid").select("eid", "dst", "src", "val")
 
 
 def features(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:

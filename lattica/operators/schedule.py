@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import exclusive_prefix
+from .order import exclusive_prefix, number_rows, position_in_row
 
 
 class Schedule(Enum):
@@ -35,8 +35,8 @@ def tasked(edges: DataFrame, kind: Schedule, vertices: int, parts: int = 1, grou
     width = max(1, vertices // parts)
     part = F.least(F.floor(F.col("src") / width), F.lit(parts - 1)) if ranged else F.lit(0)
     rows = edges.withColumn("part", part.cast("long"))
-    place = F.row_number().over(Window.partitionBy("part", "dst").orderBy("eid")) - 1
-    rows = rows.withColumn("grp", (F.floor(place / group) if chunked else F.lit(0)).cast("long"))
+    rows = position_in_row(rows, "__place", ("part", "dst"))
+    rows = rows.withColumn("grp", (F.floor(F.col("__place") / group) if chunked else F.lit(0)).cast("long")).drop("__place")
     rows = rows.withColumn("__row", F.col("part") * vertices + F.col("dst"))
     counts = rows.groupBy("__row").agg((F.max("grp") + 1).alias("__n"))
     first = exclusive_prefix(counts, "__row", "__n", "__first").select("__row", "__first")
@@ -51,9 +51,7 @@ def tasks(rows: DataFrame) -> DataFrame:
 
 def task_edges(rows: DataFrame) -> DataFrame:
     """pos, task_id, src, val: the edges in task order, neighbours of a task in their old order."""
-    begin = tasks(rows).select("task_id", "ptr")
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy("eid")) - 1
-    return rows.withColumn("__place", place).join(begin, "task_id").select((F.col("ptr") + F.col("__place")).alias("pos"), "task_id", "src", "val")
+    return number_rows(rows, ["task_id", "eid"], "pos").select("pos", "task_id", "src", "val")
 
 
 def task_stats(per_task: DataFrame, small: int = 32) -> DataFrame:

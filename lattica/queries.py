@@ -494,7 +494,7 @@ def gat_backward_scores(spark, d):
 @query(_with("SELECT v, (coalesce(sum(f) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS prefix FROM (SELECT v, CASE WHEN v % 3 = 0 THEN 1 ELSE 0 END AS f FROM vs) t", V))
 def prefix_sum(spark, d):
     flags = fx.vertices(spark, d).withColumn("f", F.when(F.col("v") % 3 == 0, 1).otherwise(0))
-    return order.exclusive_prefix(flags, "v", "f", "prefix", 64).select("v", "prefix")
+    return order.exclusive_prefix(flags, "v", "f", "prefix").select("v", "prefix")
 
 
 @query(_with("SELECT row_number() OVER (ORDER BY v) - 1 AS row, v, (coalesce(sum(deg) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin, deg FROM (SELECT v, count(dst) AS deg FROM vs LEFT JOIN e ON dst = v WHERE v % 3 = 0 GROUP BY v) t", E, V))

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import exclusive_prefix
+from ..operators.order import exclusive_prefix, number_rows
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
@@ -85,10 +85,7 @@ def write_cache(edges: DataFrame, path: str) -> DataFrame:
 
 def edge_index(edges: DataFrame) -> DataFrame:
     """pos, src, dst: edges bucketed by neighbour, each bucket in row order."""
-    counts = edges.groupBy("src").agg(F.count("*").alias("n"))
-    begin = exclusive_prefix(counts, "src", "n", "begin").select("src", "begin")
-    place = F.row_number().over(Window.partitionBy("src").orderBy("eid")) - 1
-    return edges.withColumn("place", place).join(begin, "src").select((F.col("begin") + F.col("place")).alias("pos"), "src", "dst")
+    return number_rows(edges, ["src", "eid"], "pos").select("pos", "src", "dst")
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:

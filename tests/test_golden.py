@@ -201,7 +201,7 @@ def test_prefix(spark):
     for i in range(500):
         want[i * 3] = total
         total += i % 5
-    assert {r.k: r.p for r in order.exclusive_prefix(rows, "k", "n", "p", 7).collect()} == want
+    assert {r.k: r.p for r in order.exclusive_prefix(rows, "k", "n", "p").collect()} == want
 
 
 def test_metrics(spark):
