@@ -9,15 +9,15 @@ from ..sources.scratch import written
 from .order import compacted
 
 
-def sample_key(dst: Column, src: Column, seed: int = 0) -> Column:
-    """The order in which a vertex's neighbours are picked; integers alone, so any engine can repeat it."""
-    return (src * 7919 + dst * 104729 + seed) % 1000003
+#: Parts that a vertex's edges are dealt over before they are cut.
+PARTS = 64
 
 
-def expand(active: DataFrame, edges: DataFrame) -> DataFrame:
-    """The active vertices and the sources of their edges."""
-    reached = edges.join(active.withColumnRenamed("v", "dst"), "dst", "left_semi").select(F.col("src").alias("v"))
-    return active.select("v").unionByName(reached).distinct()
+def sample_key(dst: Column, src: Column, seed: int | Column = 0) -> Column:
+    """A random key of 64 bits, in hexadecimal, for each edge and seed: a vertex takes the neighbours with the least. It is a
+    digest of the decimal numbers, so any engine can repeat it."""
+    words = [x.cast("string") for x in (F.lit(seed), dst, src)]
+    return F.substring(F.md5(F.encode(F.concat_ws(":", *words), "UTF-8")), 1, 16)
 
 
 def frontier(active: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
@@ -40,10 +40,18 @@ def subgraph(active: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def chosen_neighbours(edges: DataFrame, limit: int, seed: int = 0) -> DataFrame:
-    """min(deg, limit) distinct neighbours of each vertex, in the order of sample_key."""
-    distinct = edges.dropDuplicates(["dst", "src"])
-    order = Window.partitionBy("dst").orderBy(sample_key(F.col("dst"), F.col("src"), seed), "src")
-    return distinct.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
+    """min(deg, limit) distinct neighbours of each vertex, every set of that size as likely as any other.
+
+    A vertex takes the neighbours with the least sample_key: bottom-k lists, which can be merged. Each vertex's edges are
+    dealt over parts by a hash of the source and cut to `limit` there, then parts are merged, so neither a hub's edges nor
+    its lists meet in one task before they are short.
+    """
+    distinct = edges.dropDuplicates(["dst", "src"]).withColumn("__key", sample_key(F.col("dst"), F.col("src"), seed))
+    distinct = distinct.withColumn("__part", F.pmod(F.xxhash64("src"), F.lit(PARTS)))
+    for by in (["dst", "__part"], ["dst"]):
+        order = Window.partitionBy(*by).orderBy("__key", "src")
+        distinct = distinct.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
+    return distinct.drop("__n", "__part", "__key")
 
 
 def sampled_subgraph(active: DataFrame, edges: DataFrame, limit: int, layers: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

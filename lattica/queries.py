@@ -594,7 +594,7 @@ def subgraph_full(spark, d):
     return sample.subgraph(sample.frontier(fx.vertices(spark, d).where("v % 50 = 0"), edges, 2), edges)[1]
 
 
-CHOSEN = "ch AS (SELECT eid, dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY (src * 7919 + dst * 104729) % 1000003, src) AS rn FROM e) t WHERE rn <= 8)"
+CHOSEN = "ch AS (SELECT eid, dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY left(md5(concat('0:', dst, ':', src)), 16), src) AS rn FROM e) t WHERE rn <= 8)"
 
 
 @query(_with("SELECT eid, dst, src FROM ch", E, CHOSEN))
