@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .hubs import SHARE, hubs, salted, spread
+
 #: Widest feature vectors summed as one aggregation row; beyond it, features go long.
 WIDE = 96
 
@@ -57,10 +60,23 @@ def spmm(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int,
     return zero_fill(vertices, sums.withColumnRenamed("dst", "v"), width)
 
 
-def spmm_tasks(tasked: DataFrame, features: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """The same from edges with a `task_id`. Sums before the shuffle split a row of any degree as tasks do, and leave one
-    vector a row and map task, so tasks get no shuffle of their own."""
-    return spmm(tasked, features, vertices, width)
+def spmm_grouped(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int, parts: int = 1, share: int = SHARE, weighted: bool = True) -> DataFrame:
+    """The same in groups of neighbours: hubs are found, their edges are gathered and summed per group, groups are merged.
+
+    A vertex that sends or receives 1 / share or more of the edges has several keys (see `hubs`), so no task of the gather
+    or of the sums gets more than about that, whatever the degrees. With `parts`, groups also end at the borders of so many
+    ranges of source ids, and a group's sum reads one range of features.
+    """
+    edges = written(edges, "edges")
+    found = hubs(edges, share)
+    rows = salted(edges, found)
+    if parts > 1:
+        least, most = edges.agg(F.min("src"), F.max("src")).head()
+        step = max(1, -(-((most or 0) - (least or 0) + 1) // parts))
+        rows = rows.withColumn("__range", F.floor((F.col("src") - F.lit(least or 0)) / step))
+    gathered = rows.join(spread(features, found, "src"), ["src", "src_salt"])
+    groups = sum_vectors(gathered, ["dst", "dst_salt", *["__range"] * (parts > 1)], F.col("feat"), width, scale=F.col("val") if weighted else None)
+    return zero_fill(vertices, sum_vectors(groups, ["dst"], F.col("feat"), width).withColumnRenamed("dst", "v"), width)
 
 
 def spmm_ranges(edges: DataFrame, features: DataFrame, vertices: DataFrame, width: int, lower: int, upper: int) -> DataFrame:

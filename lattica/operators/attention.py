@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dot, guarded_divide, leaky_relu, vector
+from ..sources.scratch import written
 from .aggregate import WIDE, gather, spmm, sum_vectors, zero_fill
+from .hubs import SHARE, hubs, salted, spread
 
 
 def attention_pair(features: DataFrame, to: list[float], of: list[float]) -> DataFrame:
@@ -61,9 +63,19 @@ def _ratio(rows: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
     return zero_fill(vertices, sums, width)
 
 
-def gat_tasks(tasked: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:
-    """The same from edges with a task_id: numerators and denominators are summed per map task and target, then divided."""
-    return gat_aggregate(tasked, features, attn, vertices, width, slope)
+def gat_grouped(edges: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2, share: int = SHARE) -> DataFrame:
+    """The same in groups of neighbours: numerators and denominators are summed per group of a hub, merged, then divided. Both
+    ends of an edge are joined by salted keys (see `hubs`)."""
+    edges = written(edges.select("dst", "src"), "edges")
+    found = hubs(edges, share)
+    to = spread(attn.select("v", "a_dst"), found, "dst")
+    of = spread(features.join(attn.select("v", "a_src"), "v"), found, "src")
+    rows = salted(edges, found).join(to, ["dst", "dst_salt"]).join(of, ["src", "src_salt"])
+    rows = rows.withColumn("__e", F.exp(leaky_relu(F.col("a_dst") + F.col("a_src"), slope)))
+    groups = sum_vectors(rows, ["dst", "dst_salt"], F.concat(F.array(F.lit(1.0)), "feat"), width + 1, scale=F.col("__e"))
+    sums = sum_vectors(groups, ["dst"], F.col("feat"), width + 1)
+    ratio = F.transform(F.slice("feat", 2, width), lambda x: guarded_divide(x, F.get("feat", F.lit(0))))
+    return zero_fill(vertices, sums.select(F.col("dst").alias("v"), ratio.alias("feat")), width)
 
 
 def gat_composed(edges: DataFrame, features: DataFrame, attn: DataFrame, vertices: DataFrame, width: int, slope: float = 0.2) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dot, relu
+from ..sources.scratch import written
 from .aggregate import WIDE, sum_vectors, zero_fill
 from .dense import matmul
+from .hubs import SHARE, hubs, salted, spread
 
 
 def both_ends(edges: DataFrame, of: DataFrame, to: DataFrame) -> DataFrame:
@@ -23,11 +25,33 @@ def sddmm(edges: DataFrame, of: DataFrame, to: DataFrame, width: int) -> DataFra
     return both_ends(edges, of, to).withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y")
 
 
-def edge_mlp(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame, tasks: bool = False) -> DataFrame:
+def sddmm_grouped(edges: DataFrame, of: DataFrame, to: DataFrame, width: int, share: int = SHARE) -> DataFrame:
+    """The same with hubs at either end spread over several keys (see `hubs`)."""
+    edges = written(edges, "edges")
+    rows = _salted_ends(edges, of, to, hubs(edges, share))
+    return rows.withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y", "src_salt", "dst_salt")
+
+
+def _salted_ends(edges: DataFrame, of: DataFrame, to: DataFrame, found: DataFrame) -> DataFrame:
+    x = spread(of.select("v", F.col("feat").alias("x")), found, "src")
+    y = spread(to.select("v", F.col("feat").alias("y")), found, "dst")
+    return salted(edges, found).join(x, ["src", "src_salt"]).join(y, ["dst", "dst_salt"])
+
+
+def edge_mlp_grouped(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame, share: int = SHARE) -> DataFrame:
+    """edge_mlp in groups of neighbours: a hub's edges are joined and summed by group, then groups are merged."""
+    width = np.asarray(weights).shape[1]
+    edges = written(edges, "edges")
+    h = written(matmul(features, weights), "layer")
+    rows = _salted_ends(edges, h, h, hubs(edges, share))
+    groups = sum_vectors(rows, ["dst", "dst_salt"], F.zip_with("x", "y", lambda a, b: relu(a + b)), width)
+    return zero_fill(vertices, sum_vectors(groups, ["dst"], F.col("feat"), width).withColumnRenamed("dst", "v"), width)
+
+
+def edge_mlp(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame) -> DataFrame:
     """y[v] = sum over edges of relu((x[dst] + x[src]) W).
 
-    The product is linear, so every vertex is multiplied once and edges only add. Edges with a task_id (`tasks`) are
-    summed alike: sums before the shuffle split a row of any degree.
+    The product is linear, so every vertex is multiplied once and edges only add.
     """
     width = np.asarray(weights).shape[1]
     h = matmul(features, weights)

@@ -259,12 +259,12 @@ def _tasked(spark, d, kind=Schedule.NEIGHBOR_GROUPING, parts=4):
 
 @query(_SQL["spmm_weighted"])
 def spmm_grouped(spark, d):
-    return _long(aggregate.spmm_tasks(_tasked(spark, d), fx.features(spark, d), fx.vertices(spark, d), fx.WIDTH))
+    return _long(aggregate.spmm_grouped(fx.plain_edges(spark, d), fx.features(spark, d), fx.vertices(spark, d), fx.WIDTH))
 
 
 @query(_SQL["spmm_weighted"])
 def spmm_locality(spark, d):
-    return _long(aggregate.spmm_tasks(_tasked(spark, d, Schedule.LOCALITY_NEIGHBOR_GROUPING), fx.features(spark, d), fx.vertices(spark, d), fx.WIDTH))
+    return _long(aggregate.spmm_grouped(fx.plain_edges(spark, d), fx.features(spark, d), fx.vertices(spark, d), fx.WIDTH, parts=4))
 
 
 @query(_SQL["spmm_weighted"])
@@ -328,7 +328,7 @@ def gat_aggregate(spark, d):
 
 @query(GAT_SQL)
 def gat_grouped(spark, d):
-    return _long(attention.gat_tasks(_tasked(spark, d), fx.features(spark, d), _pair(spark, d), fx.vertices(spark, d), fx.WIDTH), digits=6)
+    return _long(attention.gat_grouped(fx.plain_edges(spark, d), fx.features(spark, d), _pair(spark, d), fx.vertices(spark, d), fx.WIDTH), digits=6)
 
 
 @query(GAT_SQL)
@@ -364,7 +364,7 @@ def sddmm(spark, d):
 @query(SDDMM)
 def sddmm_grouped(spark, d):
     x = fx.features(spark, d)
-    return edge_ops.sddmm(_tasked(spark, d), x, x, fx.WIDTH).select("eid", "s")
+    return edge_ops.sddmm_grouped(fx.edges(spark, d), x, x, fx.WIDTH).select("eid", "s")
 
 
 MLP = _with(
@@ -381,7 +381,7 @@ def edge_mlp(spark, d):
 
 @query(MLP)
 def edge_mlp_grouped(spark, d):
-    return _long(edge_ops.edge_mlp(_tasked(spark, d), fx.features(spark, d, 32), fx.weights(32, 32), fx.vertices(spark, d), tasks=True))
+    return _long(edge_ops.edge_mlp_grouped(fx.plain_edges(spark, d), fx.features(spark, d, 32), fx.weights(32, 32), fx.vertices(spark, d)))
 
 
 @query(_with(OUT.format("h"), _x(), _w(fx.WIDTH, 32), _mm("x", "w", "h")))
@@ -718,10 +718,10 @@ def load_balance(spark, d):
 
 @query()
 def spmm_timed(spark, d):
-    """Busy time over slots against wall time, of plain sums and of sums by task."""
+    """Busy time over slots against wall time, of plain sums and of sums by group."""
     x, v = fx.features(spark, d), fx.vertices(spark, d)
     plain = metrics.task_records(aggregate.spmm(fx.plain_edges(spark, d), x, v, fx.WIDTH))
-    grouped = metrics.task_records(aggregate.spmm_tasks(_tasked(spark, d), x, v, fx.WIDTH))
+    grouped = metrics.task_records(aggregate.spmm_grouped(fx.plain_edges(spark, d), x, v, fx.WIDTH))
     slots = spark.sparkContext.defaultParallelism
     return metrics.balance(plain, slots).withColumn("plan", F.lit("plain")).unionByName(metrics.balance(grouped, slots).withColumn("plan", F.lit("grouped")))
 

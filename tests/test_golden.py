@@ -40,7 +40,7 @@ def test_spmm(graph):
     for kind in Schedule:
         for group in (1, 2, 32):
             tasked = schedule.tasked(edges, kind, 4, 2, group)
-            assert feats(aggregate.spmm_tasks(tasked, x, v, 2)) == weighted
+            assert feats(aggregate.spmm_grouped(tasked.select('dst', 'src', 'val'), x, v, 2, share=2)) == weighted
             assert schedule.tasks(tasked).agg(F.sum("size")).head()[0] == 5
 
 
@@ -55,9 +55,8 @@ def test_wide_and_long_sums_agree(spark, graph):
 def test_sddmm_mlp_dense(graph):
     edges, x, v = graph
     assert {r.eid: r.s for r in edge_ops.sddmm(edges, x, x, 2).collect()} == {0: 1, 1: 8, 2: 1, 3: 15, 4: 20}
-    for tasks in (False, True):
-        rows = schedule.tasked(edges, Schedule.NEIGHBOR_GROUPING, 4, 1, 1) if tasks else edges
-        assert feats(edge_ops.edge_mlp(rows, x, np.eye(2), v, tasks)) == {0: (5, 7), 1: (4, 1), 2: (0, 0), 3: (11, 16)}
+    for mlp in (edge_ops.edge_mlp, edge_ops.edge_mlp_grouped):
+        assert feats(mlp(edges, x, np.eye(2), v)) == {0: (5, 7), 1: (4, 1), 2: (0, 0), 3: (11, 16)}
     w = np.array([[1.0, -2.0, 0.5], [0.25, 3.0, 1.0]])
     assert feats(Linear(w, True).apply(edges, x, v, True)) == feats(Linear(w, True).apply(edges, x, v, False))
     assert Linear(np.ones((8, 2))).dense_first() and not Linear(np.ones((2, 8))).dense_first()
@@ -70,8 +69,7 @@ def test_attention(spark, graph):
         p = {r.eid: r.p for r in attention.edge_softmax(edges, attn, stable=stable).collect()}
         assert p == pytest.approx({0: 2 / 3, 1: 1 / 3, 2: 1, 3: 0.5, 4: 0.5})
     want = {0: (2, 2 / 3), 1: (1, 2), 2: (0, 0), 3: (0.5, 3)}
-    tasked = schedule.tasked(edges, Schedule.NEIGHBOR_GROUPING, 4, 1, 1)
-    for got in (attention.gat_aggregate(edges, x, attn, v, 2), attention.gat_composed(edges, x, attn, v, 2), attention.gat_tasks(tasked, x, attn, v, 2)):
+    for got in (attention.gat_aggregate(edges, x, attn, v, 2), attention.gat_composed(edges, x, attn, v, 2), attention.gat_grouped(edges, x, attn, v, 2, share=2)):
         assert {k: pytest.approx(y) for k, y in want.items()} == feats(got)
     s = spark.createDataFrame([(0, 2.0), (1, 0.0), (2, 1.0), (3, 5.0)], "v long, s double")
     assert feats(attention.scale_rows(x, s)) == {0: (0.5, 1), 1: (3, -1), 2: (0, 4), 3: (1, 1)}

@@ -31,7 +31,7 @@ def test_sums_and_schedules(spark, graph):
     vertices = features.select("v")
     assert {r.v: r.feat for r in aggregate.spmm(edges, features, vertices, 3).collect()} == {v: list(want[v]) for v in range(n)}
     tasked = schedule.tasked(edges, Schedule.LOCALITY_NEIGHBOR_GROUPING, n, 2, 2)
-    assert {r.v: r.feat for r in aggregate.spmm_tasks(tasked, features, vertices, 3).collect()} == {v: list(want[v]) for v in range(n)}
+    assert {r.v: r.feat for r in aggregate.spmm_grouped(edges, features, vertices, 3, parts=2, share=4).collect()} == {v: list(want[v]) for v in range(n)}
     table = schedule.tasks(tasked).orderBy("task_id").collect()
     assert sum(r.size for r in table) == len(cells) and [r.task_id for r in table] == list(range(len(table))) and all(1 <= r.size <= 2 for r in table)
 
