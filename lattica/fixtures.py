@@ -45,6 +45,13 @@ def features(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), rounded.alias("feat"))
 
 
+def tiled_features(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """v, feat: embeddings rounded to 1/64, again and again up to the width, for models wider than the table's vectors."""
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double") * 64) / 64)
+    times = -(-width // WIDTH)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.slice(F.flatten(F.array_repeat(rounded, times)), 1, width).alias("feat"))
+
+
 def weights(inputs: int, outputs: int) -> np.ndarray:
     i, o = np.indices((inputs, outputs))
     return ((i * 31 + o * 17) % 23 - 11) / 16.0

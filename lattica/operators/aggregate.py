@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .hubs import SHARE, hubs, salted, spread
 
-#: Widest feature vectors summed as one aggregation row; beyond it, features go long.
-WIDE = 96
+#: Widest feature vectors summed as one aggregation row; longer ones are cut into blocks of BLOCK features.
+WIDE, BLOCK = 96, 64
 
 
 def to_long(features: DataFrame) -> DataFrame:
@@ -24,16 +24,25 @@ def to_wide(long: DataFrame) -> DataFrame:
 
 
 def sum_vectors(rows: DataFrame, keys: list[str], column: Column, width: int, out: str = "feat", scale: Column | None = None) -> DataFrame:
-    """Sums a vector column, times a scalar one if given, by keys; map-side partial sums leave one row a key and task to shuffle."""
+    """Sums a vector column, times a scalar one if given, by keys; map-side partial sums leave one row a key and task to
+    shuffle. A vector wider than WIDE is a row per block of features, each summed as one wide row, and put together again
+    after the sum."""
+    held = rows.select(*keys, column.alias("__v"), (F.lit(None) if scale is None else scale).alias("__s"))
     if width <= WIDE:
-        held = rows.select(*keys, column.alias("__v"), (F.lit(None) if scale is None else scale).alias("__s"))
-        term = lambda k: F.get("__v", F.lit(k)) if scale is None else F.col("__s") * F.get("__v", F.lit(k))
-        sums = held.groupBy(*keys).agg(*[F.sum(term(k)).alias(f"__{k}") for k in range(width)])
-        return sums.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).alias(out))
-    column = column if scale is None else F.transform(column, lambda x: x * scale)
-    long = rows.select(*keys, F.posexplode(column).alias("__k", "__x")).groupBy(*keys, "__k").agg(F.sum("__x").alias("__x"))
-    sums = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__k", "__x"))).alias("__kx"))
-    return sums.select(*keys, F.transform("__kx", lambda s: s["__x"]).alias(out))
+        sums = _sum_rows(held, keys, width, scale is not None)
+        return sums.select(*keys, F.col("__sums").alias(out))
+    blocks = F.array(*[F.slice("__v", at + 1, BLOCK) for at in range(0, width, BLOCK)])
+    cut = held.select(*keys, "__s", F.posexplode(blocks).alias("__block", "__v"))
+    sums = _sum_rows(cut, [*keys, "__block"], BLOCK, scale is not None)
+    whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__block", "__sums"))).alias("__blocks"))
+    return whole.select(*keys, F.slice(F.flatten(F.transform("__blocks", lambda b: b["__sums"])), 1, width).alias(out))
+
+
+def _sum_rows(held: DataFrame, keys: list[str], width: int, scaled: bool) -> DataFrame:
+    """keys, __sums: sums of the vectors __v of one width, times __s if scaled, as a single row of sums."""
+    term = lambda k: F.col("__s") * F.get("__v", F.lit(k)) if scaled else F.get("__v", F.lit(k))
+    sums = held.groupBy(*keys).agg(*[F.sum(term(k)).alias(f"__{k}") for k in range(width)])
+    return sums.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).alias("__sums"))
 
 
 def zero_fill(vertices: DataFrame, sums: DataFrame, width: int) -> DataFrame:

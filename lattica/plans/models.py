@@ -23,6 +23,8 @@ def gcn_layer(edges: DataFrame, features: DataFrame, vertices: DataFrame, weight
 
 
 def gcn(edges: DataFrame, features: DataFrame, vertices: DataFrame, layers: list[np.ndarray]) -> DataFrame:
+    if len(layers) > 1:
+        edges = written(edges, "edges")  # every layer reads them
     for weights in layers:
         features = gcn_layer(edges, features, vertices, weights)
     return features

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import gflops, leaky_relu, logistic, relu, tanh
-from .operators import aggregate, attention, dense, edge_ops, lstm, metrics, order, reorder, sample, schedule, validate
+from .operators import aggregate, attention, dense, edge_ops, lstm, metrics, order, reorder, sample, schedule, similar, validate
 from .operators.schedule import Schedule
 from .plans import models
 from .plans.rewrite import Linear, stack
@@ -50,6 +50,10 @@ def _x(width: int = fx.WIDTH, name: str = "x") -> str:
     return f"{name} AS (SELECT * FROM (SELECT vec_id AS v, unnest(range(len(embedding)))::BIGINT AS k, round(unnest(embedding)::DOUBLE * 1024) / 1024 + 0.0 AS x FROM embeddings) t WHERE k < {width})"
 
 
+def _tiled(width: int, name: str = "x") -> str:
+    return f"{name} AS (SELECT v, k + {fx.WIDTH} * t AS k, x FROM (SELECT vec_id AS v, unnest(range(len(embedding)))::BIGINT AS k, round(unnest(embedding)::DOUBLE * 64) / 64 + 0.0 AS x FROM embeddings) u, range({-(-width // fx.WIDTH)}) r(t) WHERE k + {fx.WIDTH} * t < {width})"
+
+
 def _w(inputs: int, outputs: int, name: str = "w", formula: str = "((i * 31 + o * 17) % 23 - 11) / 16.0e0") -> str:
     return f"{name} AS (SELECT i, o, {formula} AS w FROM range({inputs}) a(i), range({outputs}) b(o))"
 
@@ -151,9 +155,13 @@ def inverse_permutation(spark, d):
     return p.select("pos", F.col("v").alias("inverse_v"), "v", F.col("pos").alias("inverse_pos"))
 
 
-@query()
+@query(_with(
+    "SELECT v, k, round(sqrt(-2.0e0 * ln(u1)) * cos(2 * pi() * u2), 9) + 0.0 AS y FROM u", V,
+    "h AS (SELECT v, k::BIGINT AS k, md5('123:' || v || ':' || k) AS h FROM vs, range(16) r(k))",
+    "u AS (SELECT v, k, (('0x' || left(h, 8))::BIGINT + 0.5e0) / 4294967296.0e0 AS u1, (('0x' || substr(h, 9, 8))::BIGINT + 0.5e0) / 4294967296.0e0 AS u2 FROM h)",
+))
 def random_features(spark, d):
-    return _long(files.random_features(fx.vertices(spark, d), 16))
+    return _long(files.random_features(fx.vertices(spark, d), 16), digits=9)
 
 
 @query(_with("SELECT row_number() OVER (ORDER BY v) - 1 AS row, v, count(dst) AS deg FROM vs LEFT JOIN e ON dst = v GROUP BY v", E, V))
@@ -424,21 +432,28 @@ def pair_queue(spark, d):
     return reorder.queue(reorder.jaccard_pairs(fx.neighbour_sets(spark, d)), 100).select("a", "b", (F.round("jaccard", 9) + F.lit(0.0)).alias("jaccard"))
 
 
-@query()
+SIGNATURE = """mh AS (SELECT v, ('0x' || left(md5(u::VARCHAR), 2))::BIGINT % 64 AS bin, min(('0x' || substr(md5(u::VARCHAR), 3, 8))::BIGINT) AS value FROM s GROUP BY ALL),
+sg AS (SELECT v, i::BIGINT AS bin, min((bin - i + 64) % 64 * 4294967296 + value)::BIGINT AS value FROM mh, range(64) b(i) GROUP BY v, i)"""
+
+
+@query(_with("SELECT v, bin, value FROM sg", SETS, SIGNATURE))
 def minhash_signature(spark, d):
-    return reorder.signatures(fx.neighbour_sets(spark, d))
+    return reorder.signatures(fx.neighbour_sets(spark, d)).select("v", F.posexplode("signature").alias("bin", "value")).withColumn("bin", F.col("bin").cast("long"))
 
 
-@query()
+@query(_with(
+    "SELECT l.a, l.b, round(coalesce(jaccard, 0), 9) + 0.0 AS jaccard FROM lp l LEFT JOIN j ON j.a = l.a AND j.b = l.b", SETS, SIGNATURE,
+    "bd AS (SELECT v, bin // 2 AS band, list(value ORDER BY bin) AS key FROM sg GROUP BY ALL)", "lp AS (SELECT DISTINCT x.v AS a, y.v AS b FROM bd x JOIN bd y ON x.band = y.band AND x.key = y.key AND x.v < y.v)",
+))
 def lsh_candidates(spark, d):
-    return reorder.lsh_pairs(fx.neighbour_sets(spark, d))
+    return reorder.lsh_pairs(fx.neighbour_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 9) + F.lit(0.0))
 
 
 @query()
 def cluster_order(spark, d):
     fx.scratch(spark, "clusters")
     sets = fx.neighbour_sets(spark, d)
-    pairs = reorder.jaccard_pairs(sets, 0.2).select("a", "b", "jaccard")
+    pairs = similar.similar_pairs(sets, 0.2).select("a", "b", "jaccard")
     vertices = sets.select("v").distinct()
     return reorder.cluster_order(reorder.clusters(pairs, sets, vertices))
 
@@ -610,8 +625,20 @@ def subgraph_sampled(spark, d):
 # --- models ---------------------------------------------------------------------------------------------------------
 
 
+#: The widths of the published models: features, two hidden layers, outputs.
+MODEL = [512, 128, 64, 32]
+
+
+def _features_sql(width: int) -> str:
+    return _x(width) if width <= fx.WIDTH else _tiled(width)
+
+
+def _model_features(spark, d, width: int) -> DataFrame:
+    return fx.features(spark, d, width) if width <= fx.WIDTH else fx.tiled_features(spark, d, width)
+
+
 def _gcn_sql(widths: list[int], formula: str) -> str:
-    parts, at = [E, _x(widths[0])], "x"
+    parts, at = [E, _features_sql(widths[0])], "x"
     for i, (a, b) in enumerate(zip(widths, widths[1:], strict=False)):
         parts += [_w(a, b, f"w{i}", formula), _mm(at, f"w{i}", f"h{i}"), _sum(f"h{i}", f"s{i}", "x"), _relu(f"s{i}", f"l{i}")]
         at = f"l{i}"
@@ -619,7 +646,7 @@ def _gcn_sql(widths: list[int], formula: str) -> str:
 
 
 def _gcn(spark, d, widths, make):
-    return _long(models.gcn(fx.plain_edges(spark, d), fx.features(spark, d, widths[0]), fx.vertices(spark, d), stack(widths, make)))
+    return _long(models.gcn(fx.plain_edges(spark, d), _model_features(spark, d, widths[0]), fx.vertices(spark, d), stack(widths, make)))
 
 
 @query(_gcn_sql([64, 32], "((i * 31 + o * 17) % 23 - 11) / 16.0e0"))
@@ -632,13 +659,13 @@ def gcn_2layer(spark, d):
     return _gcn(spark, d, [64, 16, 8], fx.small_weights)
 
 
-@query(_gcn_sql([64, 16, 8, 4], SMALL))
+@query(_gcn_sql(MODEL, SMALL))
 def gcn_3layer(spark, d):
-    return _gcn(spark, d, [64, 16, 8, 4], fx.small_weights)
+    return _gcn(spark, d, MODEL, fx.small_weights)
 
 
 def _gat_sql(widths: list[int], formula: str) -> str:
-    parts, at = [E, _x(widths[0])], "x"
+    parts, at = [E, _features_sql(widths[0])], "x"
     for i, (a, b) in enumerate(zip(widths, widths[1:], strict=False)):
         parts += [_w(a, b, f"w{i}", formula), _mm(at, f"w{i}", f"h{i}"), _attn(f"h{i}", f"a{i}"), _scores(0.2, f"a{i}", f"sc{i}"), _gat(f"h{i}", f"sc{i}", f"l{i}")]
         at = f"l{i}"
@@ -647,7 +674,7 @@ def _gat_sql(widths: list[int], formula: str) -> str:
 
 def _gat_model(spark, d, widths):
     layers = [(w, fx.attention(w.shape[1])) for w in stack(widths, fx.small_weights)]
-    return _long(models.gat(fx.plain_edges(spark, d), fx.features(spark, d, widths[0]), fx.vertices(spark, d), layers), digits=6)
+    return _long(models.gat(fx.plain_edges(spark, d), _model_features(spark, d, widths[0]), fx.vertices(spark, d), layers), digits=6)
 
 
 @query(_gat_sql([64, 16], SMALL))
@@ -655,9 +682,9 @@ def gat_layer(spark, d):
     return _gat_model(spark, d, [64, 16])
 
 
-@query(_gat_sql([64, 16, 8, 4], SMALL))
+@query(_gat_sql(MODEL, SMALL))
 def gat_3layer(spark, d):
-    return _gat_model(spark, d, [64, 16, 8, 4])
+    return _gat_model(spark, d, MODEL)
 
 
 @query(_with(OUT.format("h1"), _x(), _w(64, 16, "w0", SMALL), _mm("x", "w0", "h0", True), _w(16, 8, "w1", SMALL), _mm("h0", "w1", "h1", True)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import exclusive_prefix, number_rows
@@ -110,7 +110,14 @@ def peek(df: DataFrame, n: int = 10) -> list:
 
 
 def random_features(vertices: DataFrame, width: int, seed: int = 123) -> DataFrame:
-    """features(v, feat) of standard normal numbers that depend on vertex, place and seed alone."""
-    unit = lambda k, s: (F.shiftrightunsigned(F.xxhash64(F.col("v"), F.lit(k), F.lit(seed), F.lit(s)), 12).cast("double") + 0.5) / float(1 << 52)
-    normal = lambda k: F.sqrt(F.lit(-2.0) * F.ln(unit(k, 0))) * F.cos(F.lit(2 * np.pi) * unit(k, 1))
+    """features(v, feat) of standard normal numbers that depend on vertex, place and seed alone.
+
+    A counter-based generator: the digest of "seed:vertex:place" gives two numbers of 32 bits, and these a normal one by
+    their logarithm and angle. Any engine that has the digest has the same numbers, in any order and partitioning.
+    """
+    def normal(k: int) -> Column:
+        digest = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.col("v").cast("string"), F.lit(f":{k}")), "UTF-8"))
+        unit = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+        return F.sqrt(F.lit(-2.0) * F.ln(unit(1))) * F.cos(F.lit(2 * np.pi) * unit(9))
+
     return vertices.select("v", F.array(*[normal(k) for k in range(width)]).alias("feat"))
