@@ -10,25 +10,29 @@ from .operators import reorder as _reorder
 from .operators.schedule import Schedule, tasked
 from .plans.models import MODELS
 from .plans.rewrite import stack
-from .sources import files
+from .sources import dumps, files
 
 
 def load_graph(spark: SparkSession, path: str, kind: str = "text", reorder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, vertices) of <path>.config and <path>.graph, of its raw dumps, or of a Parquet cache.
 
-    kind is "text", "binary" or "parquet". `reorder` is the path of a permutation file; without it the graph keeps its order.
+    kind is "text", "binary", "cached" (the dumps, which the first load writes from the text) or "parquet". `reorder` is the
+    path of a permutation file; without it, or where there is no such file, the graph keeps its order.
     """
     config = files.read_config(spark, f"{path}.config").head()
     vertices = spark.range(config.num_v).withColumnRenamed("id", "v")
     if kind == "text":
         edges = files.read_csr_text(spark, f"{path}.graph")
-    elif kind == "binary":
-        edges = files.read_csr_binary(spark, f"{path}.graph.ptrdump", f"{path}.graph.edgedump")
+    elif kind in ("binary", "cached"):
+        arrays = f"{path}.graph.ptrdump", f"{path}.graph.edgedump"
+        if kind == "cached" and not all(map(dumps.exists, arrays)):
+            files.write_csr_binary(files.read_csr_text(spark, f"{path}.graph"), vertices, *arrays)
+        edges = files.read_csr_binary(spark, *arrays)
     elif kind == "parquet":
         edges = spark.read.parquet(f"{path}.parquet")
     else:
         raise ValueError(f"no such kind of graph file: {kind}")
-    if reorder:
+    if reorder and dumps.exists(reorder):
         edges = _reorder.permute(edges, files.read_permutation(spark, reorder))
     return edges, vertices
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from . import fixtures as fx
 from .functions import gflops, leaky_relu, logistic, relu, tanh
 from .operators import aggregate, attention, dense, edge_ops, lstm, metrics, order, reorder, sample, schedule, similar, validate
@@ -110,6 +111,16 @@ def load_csr_text(spark, d):
     return files.read_csr_text(spark, path)
 
 
+@query(_with("SELECT eid, dst, src, 1.0e0 AS val FROM e", E))
+def load_csr_binary(spark, d):
+    """The graph as raw integers: the first load parses the text and writes them, the second reads them."""
+    path = fx.scratch(spark, "raw")
+    fx.edges(spark, d).agg(F.concat_ws(" ", F.lit(fx.size(spark, d)), F.count("*")).alias("value")).coalesce(1).write.text(f"{path}.config")
+    files.write_csr_text(fx.edges(spark, d), fx.vertices(spark, d), f"{path}.graph")
+    api.load_graph(spark, path, "cached")
+    return api.load_graph(spark, path, "cached")[0]
+
+
 @query(_with("SELECT eid, dst, src, val FROM e", E))
 def graph_cache(spark, d):
     return files.write_cache(fx.edges(spark, d), fx.scratch(spark, "cache")).select("eid", "dst", "src", "val")
@@ -144,8 +155,7 @@ PERMUTATION = _with("SELECT (v * 7 + 3) % n AS pos, v FROM vs, n", N, V)
 @query(PERMUTATION)
 def load_permutation(spark, d):
     path = fx.scratch(spark, "reorder")
-    one = fx.permutation(spark, d).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"].cast("string")), " ").alias("value"))
-    one.coalesce(1).write.text(path)
+    files.write_permutation(fx.permutation(spark, d), path)
     return files.read_permutation(spark, path)
 
 

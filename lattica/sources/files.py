@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import exclusive_prefix, number_rows
+from . import dumps
+from .scratch import written
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
@@ -18,37 +17,41 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.get(words, F.lit(0)).cast("long").alias("num_v"), F.get(words, F.lit(1)).cast("long").alias("num_e"))
 
 
-def _integers(spark: SparkSession, path: str) -> DataFrame:
-    """line, pos, x of a file of lines of integers. A line is one row, as long as the array that it holds."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    exploded = lines.where(F.trim("text") != "").select("line", F.posexplode(words).alias("pos", "x"))
-    return exploded.select(F.col("line").cast("long").alias("line"), F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("x"))
+def numbers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(words(pos, x), breaks(at)) of a text of integers: each with its place among all, and the places where a line ends.
+
+    The text may be one file or a folder of parts, and its lines of any length: Spark's text source cuts a file into ranges
+    of bytes and ends a record at each blank, so a line of gigabytes is read by many tasks and no row holds more than a
+    word. Places come from counts per range (see `exclusive_prefix`).
+    """
+    raw = spark.read.option("lineSep", " ").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = F.split("value", r"\r?\n")
+    count = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    counted = written(raw.where(F.trim("value") != "").select("*", count(F.col("value")).alias("n")), "words")
+    placed = exclusive_prefix(counted, ["file", "block", "row"], "n", "at")
+    words = placed.select("at", F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("k", "x"))
+    ends = placed.where(F.size(lines) > 1).select((F.col("at") + count(F.get(lines, F.lit(0)))).alias("at"))
+    return words.select((F.col("at") + F.col("k")).alias("pos"), F.col("x").cast("long").alias("x")), ends
 
 
 def read_csr_text(spark: SparkSession, path: str) -> DataFrame:
     """edges(eid, dst, src, val) of a .graph file: a line of row pointers, a line of neighbours; val is 1."""
-    numbers = _integers(spark, path)
-    return csr_to_edges(numbers.where("line = 0").select("pos", "x"), numbers.where("line = 1").select("pos", "x"))
-
+    words, ends = numbers(spark, path)
+    first = ends.where("at > 0").agg(F.min("at")).head()[0]
+    if first is None:
+        raise ValueError(f"{path} has no second line")
+    return csr_to_edges(words.where(F.col("pos") < first), words.where(F.col("pos") >= first).select((F.col("pos") - first).alias("pos"), "x"))
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """pos, x of a file of native 32-bit integers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                x = np.frombuffer(content.as_py(), np.int32).astype(np.int64)
-                for at in range(0, len(x), 1 << 16):
-                    part = x[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["pos", "x"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos long, x long")
+def read_csr_binary(spark: SparkSession, pointers: str, neighbours: str) -> DataFrame:
+    """edges of a .ptrdump and an .edgedump, files or folders of parts, read in ranges of bytes."""
+    return csr_to_edges(dumps.read_integers(spark, pointers), dumps.read_integers(spark, neighbours))
 
 
-def read_csr_binary(spark: SparkSession, pointers: str, neighbours: str) -> DataFrame:
-    """edges of a .ptrdump and an .edgedump file."""
-    return csr_to_edges(_raw(spark, pointers), _raw(spark, neighbours))
+def write_csr_binary(edges: DataFrame, vertices: DataFrame, pointers: str, neighbours: str) -> None:
+    """The same pair of arrays, each a folder of parts that take their place when all are written."""
+    dumps.write_integers(edges_to_ptr(edges, vertices), pointers)
+    dumps.write_integers(edges.select(F.col("eid").alias("pos"), F.col("src").alias("x")), neighbours)
 
 
 def csr_to_edges(ptr: DataFrame, idx: DataFrame) -> DataFrame:
@@ -69,12 +72,14 @@ def edges_to_ptr(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def write_csr_text(edges: DataFrame, vertices: DataFrame, path: str) -> None:
-    """Two lines, as read_csr_text takes them; a format for graphs whose arrays fit in a row each. Parquet has no such bound."""
-    line = lambda df: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"].cast("string")), " ")
-    ptr = edges_to_ptr(edges, vertices).agg(line(None).alias("value")).withColumn("n", F.lit(0))
-    idx = edges.select(F.col("eid").alias("pos"), F.col("src").alias("x")).agg(line(None).alias("value")).withColumn("n", F.lit(1))
-    both = ptr.unionByName(idx).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda s: s["value"]), "\n").alias("value"))
-    both.coalesce(1).write.text(path)
+    """A folder of parts which, one after the other, are the two lines that read_csr_text takes: a word is a row, ranges of
+    places are parts, and the last pointer carries the end of its line."""
+    ptr = edges_to_ptr(edges, vertices)
+    last = vertices.count()
+    end = F.when(F.col("pos") == last, F.lit("\n")).otherwise(F.lit(""))
+    words = ptr.select(F.lit(0).alias("line"), "pos", F.concat(F.col("x").cast("string"), end).alias("value"))
+    words = words.unionByName(edges.select(F.lit(1).alias("line"), F.col("eid").alias("pos"), F.col("src").cast("string").alias("value")))
+    words.repartitionByRange("line", "pos").sortWithinPartitions("line", "pos").select("value").write.option("lineSep", " ").text(path)
 
 
 def write_cache(edges: DataFrame, path: str) -> DataFrame:
@@ -89,9 +94,8 @@ def edge_index(edges: DataFrame) -> DataFrame:
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:
-    """order(pos, v) of a .reorder file, one line or one id a line."""
-    words = F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda w: w != "")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(words).alias("pos", "v")).select(F.col("pos").cast("long").alias("pos"), F.col("v").cast("long").alias("v"))
+    """order(pos, v) of a .reorder file, on one line or several."""
+    return numbers(spark, path)[0].select("pos", F.col("x").alias("v"))
 
 
 def write_permutation(order: DataFrame, path: str) -> None:
