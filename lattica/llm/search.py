@@ -22,7 +22,9 @@ from .common import materialise, ship_package
 SAMPLE, LEAF_ROWS, BRANCHES, MOST_LEAVES = 20_000, 200, 8, 4096
 #: Queries that calibrate, and the share of their true neighbours that must be found.
 CALIBRATE, RECALL = 64, 0.97
-#: Lengths of vectors that one table may hold; each length is searched by itself.
+#: Bytes of the sample's vectors at most, which long vectors reach before SAMPLE rows.
+SAMPLE_BYTES = 64_000_000
+#: The commonest lengths of vectors, which have an index each; rows of other lengths are few and are compared in blocks.
 MOST_LENGTHS = 32
 #: Index rows that a task holds at once, and queries whose best rows it holds before it passes them on.
 BLOCK, HELD = 2048, 50_000
@@ -142,7 +144,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
 
     Score is the Euclidean distance in double precision; ties go to the smaller key; a query never finds its own key.
     Unusable vectors and null keys take no part; an empty table has no rows. A query finds vectors of its own length
-    only, as others have no distance to it; each length has its own index, and more than MOST_LENGTHS are refused.
+    only, as others have no distance to it; each of the MOST_LENGTHS commonest lengths has its own index, and all others
+    (each at most one row in MOST_LENGTHS) are compared with every query of their length, in blocks.
     Repeated rows count once. Rows that share a key and differ are one thing with several vectors: two keys are as far
     apart as their nearest vectors, and each key is found once. Of equal vectors only the k + 1 smallest keys can ever
     be found, so the index holds no more of them (a limit pushed below the shuffle) and a common vector is no hot leaf.
@@ -151,10 +154,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     spark = vectors.sparkSession
     ship_package(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    lengths = [r["size"] for r in rows.select(F.size("v").alias("size")).distinct().orderBy("size").limit(MOST_LENGTHS + 1).collect()]
+    lengths = [r["size"] for r in rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(MOST_LENGTHS + 1).collect()]
+    found = [_nearest_of_length(rows.where(F.size("v") == n), n, k, every, seed) for n in lengths[:MOST_LENGTHS]]
     if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
-    found = [_nearest_of_length(rows.where(F.size("v") == n), k, every, seed) for n in lengths]
+        found.append(_nearest_of_others(rows.where(~F.size("v").isin(lengths[:MOST_LENGTHS])), k, every))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     hits = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -162,7 +165,21 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _nearest_of_length(rows: DataFrame, k: int, every: int, seed: int) -> DataFrame:
+def _nearest_of_others(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """query_id, vec_id, score: the best k rows of each block of a query's length, by brute force."""
+    rows = materialise(rows.dropDuplicates(["id", "v"]).withColumn("size", F.size("v")), "other-lengths")
+    blocks = rows.groupBy("size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = rows.join(blocks, "size").select("size", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("vec_id"), "v")
+    asked = rows.where(F.col("id") % every == 0).join(blocks, "size").select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("query_id"), F.col("v").alias("point"))
+    squares = F.zip_with("v", "point", lambda x, y: (x - y) * (x - y))
+    score = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+    met = asked.join(held, ["size", "block"]).where("query_id != vec_id").select("query_id", "block", "vec_id", score.alias("score"))
+    near = met.groupBy("query_id", "block", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id", "block").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "score")
+
+
+def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, seed: int) -> DataFrame:
     """query_id, vec_id, score: the best k rows of each block that a query visits."""
     spark = rows.sparkSession
     alike = Window.partitionBy("v").orderBy("id")
@@ -170,12 +187,12 @@ def _nearest_of_length(rows: DataFrame, k: int, every: int, seed: int) -> DataFr
     queries = rows.where(F.col("id") % every == 0)
     total = index.count()
 
-    sample = np.array([r.v for r in index.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).collect()])
+    sample = np.array([r.v for r in index.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * length)))).collect()])
     leaves = max(1, min(MOST_LEAVES, total // LEAF_ROWS))
     tree = Tree()
     tree.add(sample, max(1, len(sample) / leaves), np.random.default_rng(seed))
     tree.finish()
-    sent = spark.sparkContext.broadcast(tree)  # SAMPLE and MOST_LEAVES bound it
+    sent = spark.sparkContext.broadcast(tree)  # SAMPLE, SAMPLE_BYTES and MOST_LEAVES bound it
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

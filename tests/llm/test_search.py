@@ -89,5 +89,28 @@ def test_lengths_and_repeated_ids(spark):
                     best[i] = min(best.get(i, 1e9), float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())))
         want = sorted((d, i) for i, d in best.items())[:10]
         assert [(pytest.approx(d), i) for d, i in want] == [(s, i) for _, s, i in sorted(got[q])], q
-    with pytest.raises(ValueError):
-        search.nearest(spark.createDataFrame([(i, [1.0] * (i + 1), 1) for i in range(40)], SCHEMA))
+
+
+def test_more_lengths_than_indexes(spark, monkeypatch):
+    """Lengths beyond the commonest are compared with every query of their length, in blocks; nothing is refused or lost."""
+    monkeypatch.setattr(search, "MOST_LENGTHS", 2)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 41).astype(np.float32)]) for i in range(2000)]
+    rows += [(i, [float(x) for x in rng.normal(size=5).astype(np.float32)]) for i in range(0, 3000, 50)] + rows[:40]  # ids with two vectors, repeated rows
+    got = {}
+    for r in search.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA).repartition(5)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    near: dict = {}
+    for q, a in rows:
+        for i, b in rows if q % 100 == 0 else ():
+            if i != q and len(a) == len(b):
+                d = float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum()))
+                near.setdefault(q, {})[i] = min(d, near.get(q, {}).get(i, d))
+    assert set(got) == set(near) and len(near) >= 20
+    for q, found in near.items():
+        want = sorted((d, i) for i, d in found.items())[:10]
+        mine = sorted(got[q])
+        assert [r[0] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == len(want)
+        exact = sum(i in {x for _, x in want} for _, i, _ in mine)
+        assert exact >= 0.8 * len(want) and all(s == pytest.approx(found[i]) for _, i, s in mine)
