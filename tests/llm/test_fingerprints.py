@@ -40,9 +40,24 @@ def test_all_texts_are_compared_where_too_many_digests_repeat(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in fp.compare_edited(table(spark, rows)).collect()} == {5: 3, 3: 3, 4: 4}
 
 
-def test_colliding_digests_stay_apart(spark, monkeypatch):
-    rows = fp.exact_classes(table(spark, [(1, "a"), (2, "a"), (3, "b"), (4, "b")])).collect()
-    assert sorted(r.class_id for r in rows) == [1, 3] and len({bytes(r.check) for r in rows}) == 2
+def test_colliding_digests_stay_apart(spark):
+    """With a digest of one letter all texts share a bucket; classes are still those of equal canonical bytes."""
+    rows = [(1, "a x"), (2, "A  x"), (3, "a y"), (4, "a y"), (5, "a z"), (6, None)]
+    weak = lambda form: form[:1].decode()
+    got = fp.exact_classes(table(spark, rows), fingerprint=weak).collect()
+    assert sorted((r.class_id, r.fingerprint) for r in got if r.fingerprint) == [(1, "a"), (3, "a"), (5, "a")] and len({bytes(r.check) for r in got}) == len(got)
+    all_ = {r.doc_id: (r.class_id, r.fingerprint) for r in fp.compare_edited(table(spark, rows), fingerprint=weak).collect()}
+    assert all_ == {1: (1, "a"), 2: (1, "a"), 3: (3, "a"), 4: (3, "a"), 5: (5, "a"), 6: (6, "")}
+
+
+def test_shared_and_null_keys_have_an_order(spark):
+    """Rows that share a key, or have none, follow each other alike in every run and partitioning; null keys are in many ranges."""
+    rows = [(i % 7 if i % 3 else None, f"text {i % 50} of {i % 11}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.edited_sha256) for r in fp.compare_edited(frame.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 600
+    own = {hashlib.sha256((t[: len(t) - len(t) // 3] + f[: len(t) // 3]).encode()).hexdigest() for _, t in rows for _, f in rows}
+    assert {r[3] for r in runs[0]} <= own
 
 
 def test_one_none_and_repeated_rows(spark):
