@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -20,9 +21,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 _RUN = re.compile(f"[{WHITE}]+")
 #: Characters of distinct pre-tokens that a task holds before it passes them on; results don't depend on it.
 HELD = 8_000_000
-#: The commonest pre-tokens whose counts are broadcast, and the characters that one of them has at most: their product
+#: The commonest pre-tokens whose counts are broadcast, and the characters of a pre-token that is its own key: their product
 #: bounds the broadcast. All others are joined by a shuffle.
-COMMON, COMMON_CHARS = 100_000, 256
+COMMON, KEY_CHARS = 100_000, 256
 _loaded: dict[int, object] = {}
 
 
@@ -31,6 +32,12 @@ def pre_tokens(text: str) -> list[str]:
     return [x for x in _RUN.split(text) if x] if _ODD.search(text) else text.split()
 
 
+def key_of(word: str) -> str:
+    """What a pre-token is joined by: itself or, if it is long, a blank, which no pre-token holds, and its SHA-256. So a long
+    run that many documents share is a common key like any other, and no row carries it."""
+    return word if len(word) <= KEY_CHARS else " " + hashlib.sha256(word.encode()).hexdigest()
+
+
 def _tokenizer(spec: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -77,7 +84,7 @@ def _pieces(spec):
         for batch in slices(batches, "word"):
             words = batch.column("word").to_pylist()
             sizes = [len(x) for at in range(0, len(words), 4096) for x in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("docs"), pa.array(sizes, pa.int64())], ["word", "docs", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, words), pa.string()), batch.column("docs"), pa.array(sizes, pa.int64())], ["word", "docs", "pieces"])
 
     return released(run)
 
@@ -93,6 +100,7 @@ def _frequencies(common):
                 sizes.append(len(text.encode()))
                 total = 0
                 for word, n in Counter(pre_tokens(text)).items():
+                    word = key_of(word)
                     if (pieces := known.get(word)) is None:
                         words.append(word), counts.append(n)
                     else:
@@ -106,7 +114,7 @@ def _frequencies(common):
 
 
 def piece_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """word, docs, pieces of each distinct pre-token: counted once, however many documents hold it."""
+    """word (its key), docs, pieces of each distinct pre-token: counted once, however many documents hold it."""
     spark = docs.sparkSession
     ship_package(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer).read_text())  # as large as the vocabulary file
@@ -127,7 +135,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     counted = materialise(piece_counts(docs, tokenizer, text), "pieces")
-    top = counted.where(F.char_length("word") <= COMMON_CHARS).orderBy(F.desc("docs"), "word").limit(COMMON)
+    top = counted.orderBy(F.desc("docs"), "word").limit(COMMON)
     common = spark.sparkContext.broadcast({r.word: r.pieces for r in top.collect()})
     kind = dict(docs.dtypes)[key]
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))

@@ -109,11 +109,11 @@ def test_counts_equal_the_library(docs):
 
 def test_pre_tokens_are_counted_once_and_joined(docs, monkeypatch):
     counted = token_counts.piece_counts(docs, WORDS).collect()
-    distinct = {w for r in docs.collect() for w in token_counts.pre_tokens(r.text or "")}
+    distinct = {token_counts.key_of(w) for r in docs.collect() for w in token_counts.pre_tokens(r.text or "")}
     assert {r.word for r in counted} == distinct and len(counted) == len(distinct)
     assert {r.docs for r in counted if r.word == "the"} == {sum("the" in token_counts.pre_tokens(r.text or "") for r in docs.collect())}
     want = sorted(map(repr, token_counts.token_counts(docs, WORDS).collect()))
-    for name, value in (("COMMON", 3), ("COMMON_CHARS", 2), ("HELD", 1)):  # nearly all goes by the shuffle, in small parts
+    for name, value in (("COMMON", 3), ("HELD", 1)):  # nearly all goes by the shuffle, in small parts
         monkeypatch.setattr(token_counts, name, value)
     assert sorted(map(repr, token_counts.token_counts(docs, WORDS).collect())) == want
 
@@ -122,3 +122,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(none, RANKS).count() == 0 == token_counts.token_counts(none, WORDS).count()
     assert bpe.decode(none.select("doc_id", F.array(F.lit(1)).alias("ids")), RANKS).count() == 0
+
+
+def test_long_runs_shared_by_many_texts_are_common_keys(spark):
+    """A run longer than a key is counted whole and joined by its digest, by broadcast and by the shuffle alike; no row holds it."""
+    long = ["http://x/" + "ab0" * 400, "é" * 257, "z" * 256, "q" * 100_000]
+    texts = [f"{long[i % 4]} w{i} {long[(i + 1) % 4]} {long[0]}" for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(WORDS)
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    words = {r.word for r in token_counts.piece_counts(docs, WORDS).collect()}
+    assert max(map(len, words)) == 256 and sum(w.startswith(" ") for w in words) == 3
+    for common in (100_000, 0):
+        old, token_counts.COMMON = token_counts.COMMON, common
+        try:
+            assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, WORDS).collect()} == want
+        finally:
+            token_counts.COMMON = old
