@@ -10,6 +10,7 @@ from ..functions import dot, relu
 from ..sources.scratch import written
 from .aggregate import WIDE, sum_vectors, zero_fill
 from .dense import matmul
+from .grid import inner_products
 from .hubs import SHARE, hubs, salted, spread
 
 
@@ -21,8 +22,8 @@ def both_ends(edges: DataFrame, of: DataFrame, to: DataFrame) -> DataFrame:
 
 
 def sddmm(edges: DataFrame, of: DataFrame, to: DataFrame, width: int) -> DataFrame:
-    """s = <of[src], to[dst]> on each edge."""
-    return both_ends(edges, of, to).withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y")
+    """s = <of[src], to[dst]> on each edge, in the cells of a grid (see `grid`)."""
+    return inner_products(edges, of, to, width)
 
 
 def sddmm_grouped(edges: DataFrame, of: DataFrame, to: DataFrame, width: int, share: int = SHARE) -> DataFrame:
