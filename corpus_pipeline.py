@@ -15,7 +15,8 @@ from lattica.llm.queries import BYTE_BPE
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; the classifier learns from the labelled rows that aren't held out.
-    Null and empty texts score as the bias alone; repeated rows score alike, and each stays or goes."""
+    Null and empty texts score as the bias alone; repeated rows score alike, and each stays or goes; a very long text is
+    scored whole, by its worst window."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, tables(spark, sf_dir, "labels")))
 
 

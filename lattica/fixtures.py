@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.order import number_rows
-from .sources.scratch import scratch, written  # noqa: F401
+from .sources.scratch import scratch  # noqa: F401
 
 #: Features of a vertex in the tables; neighbours in a fixed-degree sequence; the modulus that leaves vertices isolated.
 WIDTH, NEIGHBOURS, GAP = 64, 16, 17

@@ -79,10 +79,11 @@ def keyed_number(text: Column, name: str) -> Column:
     return F.regexp_extract(text, name + r"\s*=\s*([-+0-9.eE]+)", 1).try_cast("double")
 
 
-def result_matrix(results: DataFrame) -> DataFrame:
-    """dataset x app rows with a column per framework; text that is no number counts as 0, then at least 1e-16."""
+def result_matrix(results: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
+    """dataset x app rows with a column per framework, of those named or else of all that occur; text that is no number
+    counts as 0, then at least 1e-16."""
     number = F.greatest(F.coalesce(F.col("text").try_cast("double"), F.lit(MISSING)), F.lit(UNSUPPORTED))
-    return results.withColumn("number", number).groupBy("app", "dataset").pivot("framework", ["ours", "dgl", "pyg"]).agg(F.max("number"))
+    return results.withColumn("number", number).groupBy("app", "dataset").pivot("framework", frameworks).agg(F.max("number"))
 
 
 def axis_facts(results: DataFrame, by: str, value: str) -> DataFrame:

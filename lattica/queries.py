@@ -632,6 +632,27 @@ def subgraph_sampled(spark, d):
     return sample.sampled_subgraph(fx.vertices(spark, d).where("v % 50 = 0"), fx.edges(spark, d), 8, 3)[1]
 
 
+@query(_with("SELECT eid, dst, src, 1.0e0 AS val FROM r", E, V, REORDER))
+def load_reordered(spark, d):
+    """A graph on disk, loaded in the order that a permutation file names."""
+    path, n = fx.scratch(spark, "ordered"), fx.size(spark, d)
+    edges = fx.edges(spark, d)
+    edges.agg(F.concat_ws(" ", F.lit(n), F.count("*")).alias("value")).coalesce(1).write.text(f"{path}.config")
+    files.write_csr_text(edges, fx.vertices(spark, d), f"{path}.graph")
+    files.write_permutation(fx.permutation(spark, d), f"{path}.reorder")
+    return api.load_graph(spark, path, "text", f"{path}.reorder")[0]
+
+
+@query(_with("SELECT printf('%.6f', deg::DOUBLE) AS value FROM (SELECT v, count(dst) AS deg FROM vs LEFT JOIN e ON dst = v GROUP BY v) t, range(2)", E, V))
+def append_log(spark, d):
+    """A log of a line a number, appended to twice and read."""
+    path = fx.scratch(spark, "log")
+    numbers = aggregate.degrees(fx.plain_edges(spark, d), fx.vertices(spark, d)).select(F.col("deg").cast("double"))
+    for _ in range(2):
+        files.append_log(numbers, path)
+    return spark.read.text(path)
+
+
 # --- models ---------------------------------------------------------------------------------------------------------
 
 
@@ -669,6 +690,11 @@ def gcn_2layer(spark, d):
     return _gcn(spark, d, [64, 16, 8], fx.small_weights)
 
 
+@query(_gcn_sql([64, 16, 8], SMALL))
+def model_by_name(spark, d):
+    return _long(api.run("GCN", fx.plain_edges(spark, d), fx.features(spark, d), fx.vertices(spark, d), stack([64, 16, 8], fx.small_weights)))
+
+
 @query(_gcn_sql(MODEL, SMALL))
 def gcn_3layer(spark, d):
     return _gcn(spark, d, MODEL, fx.small_weights)

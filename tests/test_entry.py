@@ -49,7 +49,11 @@ def test_query_without_sql(spark, name):
     assert queries.queries()[name](spark, DATA).count() > 0
 
 
-def test_entry_without_the_vocabulary_files(tmp_path):
-    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'gcn_layer' in e.queries() and not any(q.startswith('op') for q in e.queries())"
+@pytest.mark.parametrize("absent", ["public_tokenizers", "regex", "tiktoken", "lattica.llm", "corpus_pipeline"])
+def test_entry_without_what_the_other_operators_need(tmp_path, absent):
+    """What is not installed costs the queries that need it, and no others."""
+    code = f"import sys; sys.modules['{absent}'] = None; import __spark_entry__ as e; assert 'gcn_layer' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    if absent not in ("tiktoken", "corpus_pipeline"):
+        code += " and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
     env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.abspath(__spark_entry__.__file__))}
     subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=tmp_path, timeout=120)
