@@ -43,7 +43,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     under it; `take` is 0 unless the role is `learn`. Rows go by turn, then role, then text, nulls first; a null role
     or text is empty; repeated rows are turns of their own; rows with a null conversation id form one conversation.
     An empty table gives no rows; other columns are ignored. One shuffle by conversation; a conversation is one
-    training example, so it must fit in a row.
+    training example, so it must fit in a row, however long its texts.
     """
     structs = turns.select(
         F.col(conv).alias("conv"),

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component_id is the smallest key that a row reaches over links, itself included; kept says that it is the row's
     own. Texts without words and null texts have an empty set and no links. Equal sets are one vertex, so copies cost
     nothing beyond their sketch; rows that share a key are one vertex too, and a row without a key gets its set's
-    component or null. Other columns are ignored; an empty table gives no rows.
+    component or null. Other columns are ignored; an empty table gives no rows. A very long text is sketched and compared
+    whole, by tasks that hold its shingles' hashes.
 
     Distinct sets that share a band meet in its bucket (buckets of the same members are one). Buckets are cut into
     blocks of at most `most` members or MOST_SHINGLES shingles, each with the bucket's smallest key; a block is

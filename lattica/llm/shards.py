@@ -69,7 +69,7 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, key: int = 2024022
     Null and empty texts are a lone end mark; the last sequence of an input partition is filled up with FILL, which
     n_tokens doesn't count. An empty table gives no shards. Input partitions must come out alike each time, as those of
     written tables do: they are encoded once to count and once to write, which the second pass verifies. Rows may
-    repeat, other columns are ignored. A shard is written under a name of its attempt and then renamed, so a task may
+    repeat, other columns are ignored. A very long text is encoded whole by one task and fills many sequences. A shard is written under a name of its attempt and then renamed, so a task may
     run twice.
     """
     spark = docs.sparkSession

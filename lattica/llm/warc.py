@@ -38,7 +38,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     Of rows with equal payloads of at least `least` bytes, that with the smallest key is a response and the others are
     revisits that name it and carry no payload. Null payloads are empty; repeated rows are responses, each
     of them, and rows without a key are always responses. Line breaks in a URL become blanks, a null URL is
-    urn:page:<key>. A record ends with two line breaks: the text writer's line separator.
+    urn:page:<key>. A very long payload is one row of the text writer. A record ends with two line breaks, the writer's line separator.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h"))
     digested = rows.withColumn("n", F.octet_length("h").cast("long")).withColumn("d", base32_sha1(F.col("h")))

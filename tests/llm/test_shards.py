@@ -51,6 +51,23 @@ def test_round_trip(docs, tmp_path):
     assert [(r.slot, r.ids_sha256) for r in rest] == [(r.slot, r.ids_sha256) for r in got[11:]]
 
 
+def test_each_slot_holds_its_sequence(spark, tmp_path):
+    """Against a loop: partition by partition, documents are strung together with end marks and cut; slot P(i) holds cut i."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rows = [(i, f"some words of text {i} " * (i * 7 % 23) if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    want = []
+    for part in docs.rdd.glom().collect():
+        stream = [x for r in part for x in [*library.encode_ordinary(r.text or ""), 50256]]
+        stream += [shards.FILL] * (-len(stream) % 32)
+        want += [stream[at : at + 32] for at in range(0, len(stream), 32)]
+    made = shards.write_shards(docs, f"file://{tmp_path}/s", RANKS, key=5, length=32, per_shard=8)
+    got = {r.slot: list(r.ids) for r in shards.read_sequences(made, length=32, with_ids=True).collect()}
+    place = shards.slots(np.arange(len(want)), len(want), 5)
+    assert len(want) > 20 and got == {int(place[i]): ids for i, ids in enumerate(want)}
+    assert sorted(place.tolist()) != place.tolist()
+
+
 def test_same_key_same_shards(docs, tmp_path):
     one = shards.write_shards(docs, f"file://{tmp_path}/a", RANKS, length=64, per_shard=8)
     two = shards.write_shards(docs, f"file://{tmp_path}/b", RANKS, length=64, per_shard=8)
