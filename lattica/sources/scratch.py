@@ -20,8 +20,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def note(spark: SparkSession, path: str) -> str:
+    """Remembers a folder that clear() may delete."""
+    context = spark.sparkContext
+    context._lattica_scratch = [*getattr(context, "_lattica_scratch", []), path]
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that steps have written in this session, and returns how many there were. For a long session,
+    between queries: results that were not collected or written yet are lost."""
+    context = spark.sparkContext
+    paths, context._lattica_scratch = getattr(context, "_lattica_scratch", []), []
+    for path in paths:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written once and read back: what uses it several times doesn't compute it again."""
-    path = scratch(df.sparkSession, name)
+    path = note(df.sparkSession, scratch(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
