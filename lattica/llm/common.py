@@ -15,6 +15,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import note
+
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -38,7 +40,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = note(spark, new_folder(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
