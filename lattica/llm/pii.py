@@ -12,6 +12,7 @@ Only islands are scored: runs of digit groups, or what stands around an "at". Al
 from __future__ import annotations
 
 import bisect
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -423,11 +424,25 @@ def _expect(island: Island, scores: np.ndarray, follows: np.ndarray, df: np.ndar
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Learns from islands of at most MOST_TEXTS texts of at most MOST_CHARS characters, picked by a hash of the key, with
-    their base spans as labels, at most MOST_ISLANDS of them, and from made spellings. Empty tables leave the made ones."""
-    picked = docs.where(F.char_length(text) <= MOST_CHARS).orderBy(F.xxhash64(F.col(key), F.lit(13)), F.col(key), F.col(text)).select(text).limit(MOST_TEXTS).collect()
-    real = [x for r in picked for x in observed(r[0])]
-    return train(real[:MOST_ISLANDS])
+    """Learns from islands of some MOST_TEXTS different texts of at most MOST_CHARS characters, with their base spans as
+    labels, at most MOST_ISLANDS of them, and from made spellings. Empty tables leave the made ones.
+
+    Texts are picked by a hash below the share that gives as many, so tasks find theirs alone; only islands, some hundred
+    bytes each, come to the driver.
+    """
+    ship_package(docs.sparkSession)
+    bits = 1 << 31
+    share = min(1.0, MOST_TEXTS / max(1, docs.count()))
+    hashed = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(13)), F.lit(bits))
+    picked = docs.where((F.char_length(text) <= MOST_CHARS) & (hashed < int(share * bits))).select(F.col(text).alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps([island.tokens, [vars(s) for s in island.segments], base]) for x in batch.column(0).to_pylist() for island, base in observed(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["island"])
+
+    rows = picked.mapInArrow(run, "island string").orderBy(F.xxhash64("island"), "island").limit(MOST_ISLANDS).collect()
+    return train([(Island(tokens, [Segment(**s) for s in segments]), [tuple(b) for b in base]) for tokens, segments, base in (json.loads(r.island) for r in rows)])
 
 
 def find(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
