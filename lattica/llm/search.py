@@ -187,7 +187,10 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, seed: i
     queries = rows.where(F.col("id") % every == 0)
     total = index.count()
 
-    sample = np.array([r.v for r in index.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * length)))).collect()])
+    wanted, bits = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * length))), 1 << 31
+    hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits))
+    share = int(min(1.0, (wanted + 6 * wanted**0.5) / max(1, total)) * bits)  # tasks drop what can't be among the first
+    sample = np.array([r.v for r in index.where(hashed < share).orderBy(hashed, "id").limit(wanted).collect()])
     leaves = max(1, min(MOST_LEAVES, total // LEAF_ROWS))
     tree = Tree()
     tree.add(sample, max(1, len(sample) / leaves), np.random.default_rng(seed))
