@@ -135,7 +135,9 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     counted = materialise(piece_counts(docs, tokenizer, text), "pieces")
-    top = counted.orderBy(F.desc("docs"), "word").limit(COMMON)
+    total = counted.count()
+    rare = 0 if total <= COMMON else counted.select(F.percentile_approx("docs", 1 - COMMON / total, 10_000)).head()[0]
+    top = counted.where(F.col("docs") > rare).orderBy(F.desc("docs"), "word").limit(COMMON)  # tasks send no others
     common = spark.sparkContext.broadcast({r.word: r.pieces for r in top.collect()})
     kind = dict(docs.dtypes)[key]
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
