@@ -14,6 +14,10 @@ from .grid import inner_products
 from .hubs import SHARE, hubs, salted, spread
 
 
+#: Bytes of vectors up to which a table of them is broadcast.
+MOST_BROADCAST = 8_000_000
+
+
 def both_ends(edges: DataFrame, of: DataFrame, to: DataFrame) -> DataFrame:
     """Edges with x (the source's vector) and y (the receiver's)."""
     x = of.select(F.col("v").alias("src"), F.col("feat").alias("x"))
@@ -22,8 +26,12 @@ def both_ends(edges: DataFrame, of: DataFrame, to: DataFrame) -> DataFrame:
 
 
 def sddmm(edges: DataFrame, of: DataFrame, to: DataFrame, width: int) -> DataFrame:
-    """s = <of[src], to[dst]> on each edge, in the cells of a grid (see `grid`)."""
-    return inner_products(edges, of, to, width)
+    """s = <of[src], to[dst]> on each edge: by broadcast of both tables of vectors where they are counted to be small, in the
+    cells of a grid beyond (see `grid`)."""
+    if max(of.count(), to.count()) * width * 8 > MOST_BROADCAST:
+        return inner_products(edges, of, to, width)
+    rows = both_ends(edges, F.broadcast(of), F.broadcast(to))
+    return rows.withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y")
 
 
 def sddmm_grouped(edges: DataFrame, of: DataFrame, to: DataFrame, width: int, share: int = SHARE) -> DataFrame:

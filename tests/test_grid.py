@@ -41,8 +41,11 @@ def test_the_shuffle_carries_vertices_not_edges_times_width(spark):
     assert both == 150 and grid.side_of(10**9, 64, 100) ** 2 < 10**9 and grid.side_of(100, 64, 16) == 4 and grid.side_of(100, 64, 1) == 1
 
 
-def test_sddmm_is_the_same_by_hubs(spark):
+def test_sddmm_is_the_same_by_hubs_by_broadcast_and_on_a_grid(spark, monkeypatch):
     _, _, edges, features = graph(spark)
     edges = edges.select("eid", "dst", "src").where("dst IS NOT NULL AND src IS NOT NULL")
     rows = lambda df: sorted((r.eid, r.s) for r in df.select("eid", F.col("s")).collect())
-    assert rows(edge_ops.sddmm(edges, features, features, 5)) == rows(edge_ops.sddmm_grouped(edges, features, features, 5, share=4))
+    want = rows(edge_ops.sddmm(edges, features, features, 5))
+    assert want == rows(edge_ops.sddmm_grouped(edges, features, features, 5, share=4))
+    monkeypatch.setattr(edge_ops, "MOST_BROADCAST", 0)
+    assert rows(edge_ops.sddmm(edges, features, features, 5)) == want
