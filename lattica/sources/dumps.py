@@ -7,6 +7,7 @@ place when the whole write is committed, so a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,10 @@ WIDTH = 4
 
 
 def _store(path: str):
-    """pyarrow's file system of a path or URI, and the path in it."""
+    """pyarrow's file system of a path or URI, and the path in it. A path without a scheme is local."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
 
 
 def _parts(path: str) -> list[tuple[str, int]]:

@@ -66,9 +66,12 @@ def test_integers_in_ranges_and_commits(spark, tmp_path):
     assert not dumps.exists(f"{tmp_path}/c.dump")
 
 
-def test_cache_on_first_read_and_missing_order(spark, tmp_path):
+def test_cache_on_first_read_and_missing_order(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert not dumps.exists("g.graph") and not dumps.exists(f"file:{tmp_path}/g.graph")
     (tmp_path / "g.config").write_text("4 5\n")
     (tmp_path / "g.graph").write_text("0 2 3 3 5\n0 1 1 0 3\n")
+    assert dumps.exists("g.graph") and dumps.exists(f"file:{tmp_path}/g.graph")
     assert coo(api.load_graph(spark, f"{tmp_path}/g", "cached")[0]) == COO
     (tmp_path / "g.graph").unlink()
     assert coo(api.load_graph(spark, f"{tmp_path}/g", "cached", reorder=f"{tmp_path}/none")[0]) == COO
