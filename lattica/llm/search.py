@@ -26,8 +26,10 @@ CALIBRATE, RECALL = 64, 0.97
 SAMPLE_BYTES = 64_000_000
 #: The commonest lengths of vectors, which have an index each; rows of other lengths are few and are compared in blocks.
 MOST_LENGTHS = 32
-#: Index rows that a task holds at once, and queries whose best rows it holds before it passes them on.
+#: Rows of a group of leaves, which a task holds at once, and queries whose best rows it holds before it passes them on.
 BLOCK, HELD = 2048, 50_000
+#: Groups of leaves that one Arrow batch of a query's rows names.
+PASSED = 256
 
 
 def usable(vector: Column) -> Column:
@@ -149,7 +151,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_i
     Repeated rows count once. Rows that share a key and differ are one thing with several vectors: two keys are as far
     apart as their nearest vectors, and each key is found once. Of equal vectors only the k + 1 smallest keys can ever
     be found, so the index holds no more of them (a limit pushed below the shuffle) and a common vector is no hot leaf.
-    Large leaves are cut into blocks of some BLOCK rows, past which queries stream.
+    Leaves share groups of some BLOCK rows, and larger ones are cut into them; queries stream past a group, each with the
+    list of leaves that it visits there, so that its vector is sent once a group and never a batch of all visits.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -206,51 +209,68 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, seed: i
     counts = np.zeros(tree.leaves, np.int64)
     for r in leafed.groupBy("leaf").count().collect():  # a row per leaf
         counts[r.leaf] = r["count"]
-    blocks = np.maximum(1, -(-counts // BLOCK))
+    first, blocks = _grouped(counts)
 
     visits = _calibrated(leafed, queries, tree, k, seed)
 
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, leaf = batch.column("id").to_numpy(), batch.column("leaf").to_numpy()
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            group = first[leaf] + (mixed % blocks[leaf].astype(np.uint64)).astype(np.int64)
+            none = pa.array([None] * len(ids), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.zeros(len(ids), np.int64)), pa.array(leaf), pa.array(ids), batch.column("v"), none], names)
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            ids, points = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            found: list[tuple[int, int, int]] = []
+            ids, points, v = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(1)
             for i in range(len(ids)):
-                seen, rows_seen = 0, 0
+                leaves, rows_seen = [], 0
                 for leaf in own.visit(points[i]):
                     if counts[leaf]:
-                        found += [(i, leaf, s) for s in range(blocks[leaf])]
-                        seen, rows_seen = seen + 1, rows_seen + counts[leaf]
-                    if seen >= visits and rows_seen > k:
+                        leaves.append(leaf)
+                        rows_seen += counts[leaf]
+                    if len(leaves) >= visits and rows_seen > k:
                         break
-            if found:
-                i, leaf, block = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block), pa.array(np.ones(len(i), np.int64)), pa.array(ids[i]), batch.column(1).take(pa.array(i))], ["leaf", "block", "kind", "id", "v"])
-
-    schema = "leaf long, block long, kind long, id long, v array<double>"
-    per_leaf = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("leaf").cast("int")) if blocks.max() > 1 else F.lit(1)
-    stored = leafed.select("leaf", F.pmod(F.xxhash64("id"), per_leaf).cast("long").alias("block"), F.lit(0).cast("long").alias("kind"), "id", "v")
-    both = stored.unionByName(queries.mapInArrow(asked, schema)).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
+                wanted: dict[int, list[int]] = {}
+                for leaf in sorted(leaves):
+                    for group in range(first[leaf], first[leaf] + blocks[leaf]):
+                        wanted.setdefault(group, []).append(leaf)
+                groups = list(wanted)
+                for at in range(0, len(groups), PASSED):  # a query goes to many groups: its rows are passed on in parts
+                    part, n = groups[at : at + PASSED], min(PASSED, len(groups) - at)
+                    one, same = np.ones(n, np.int64), v.take(pa.array(np.full(n, i)))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(one), pa.array(one), pa.array(np.full(n, ids[i])), same, pa.array([wanted[g] for g in part], pa.list_(pa.int64()))], names)
+
+    names = ["group", "kind", "leaf", "id", "v", "leaves"]
+    schema = "group long, kind long, leaf long, id long, v array<double>, leaves array<long>"
+    spread = queries.repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    both = leafed.mapInArrow(stored, schema).unionByName(spread.mapInArrow(asked, schema)).repartition("group").sortWithinPartitions("group", "kind", "leaf")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, block = None, [], None
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            place = np.stack([batch.column(c).to_numpy() for c in ("leaf", "block", "kind")], 1)
-            ids, points = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1, [len(ids)]]) if len(ids) else []
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy() for c in ("group", "kind")], 1)
+            ids, points, leaf, leaves = batch.column("id").to_numpy(), _matrix(batch.column("v")), batch.column("leaf").to_numpy(), batch.column("leaves")
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1, [len(ids)]])
             for a, b in zip(edges, edges[1:], strict=False):
-                where = tuple(place[a][:2])
-                if where != at:
-                    at, held, block = where, [], None
-                if place[a][2] == 0:
-                    held.append((ids[a:b], points[a:b]))
-                    block = None
+                if place[a][0] != at:
+                    at, held, block = place[a][0], [], None
+                if place[a][1] == 0:
+                    held.append((ids[a:b], points[a:b], leaf[a:b]))
                     continue
                 if block is None:
-                    block = (np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])) if held else (np.empty(0, np.int64), np.empty((0, points.shape[1])))
+                    block = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.empty(0, np.int64), np.empty((0, points.shape[1])), np.empty(0, np.int64)]
+                    held = []
                 for i in range(a, b):
-                    best[ids[i]] = _better(best.get(ids[i]), _nearest(*block, ids[i], points[i], k), k)
+                    wanted = leaves[i].values.to_numpy()
+                    ends = np.searchsorted(block[2], wanted, "left"), np.searchsorted(block[2], wanted, "right")
+                    rows = np.concatenate([np.arange(x, y) for x, y in zip(*ends, strict=True)])
+                    best[ids[i]] = _better(best.get(ids[i]), _nearest(block[0][rows], block[1][rows], ids[i], points[i], k), k)
             if len(best) >= HELD:
                 yield _passed_on(best)
                 best = {}
@@ -260,6 +280,20 @@ def _nearest_of_length(rows: DataFrame, length: int, k: int, every: int, seed: i
     return both.mapInArrow(matched, "query_id long, vec_id long, score double")
 
 
+def _grouped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each leaf, and how many it has: leaves share a group of up to BLOCK rows, and one with more rows
+    has groups of its own, over which its rows are dealt. A query's vector is sent to groups, not to leaves."""
+    blocks = np.maximum(1, -(-counts // BLOCK))
+    first, group, room = np.zeros(len(counts), np.int64), -1, 0
+    for leaf, n in enumerate(counts):
+        if blocks[leaf] > 1 or n > room or group < 0:
+            group, room = group + 1, BLOCK
+        first[leaf], room = group, room - n
+        if blocks[leaf] > 1:
+            group, room = group + blocks[leaf] - 1, 0
+    return first, blocks
+
+
 def exact(vectors: DataFrame, points: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """query_id, vec_id, score, leaf or null: the true k nearest of a few given points, by brute force in blocks."""
     ids, at = np.array([i for i, _ in points]), np.array([p for _, p in points])

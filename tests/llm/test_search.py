@@ -114,3 +114,14 @@ def test_more_lengths_than_indexes(spark, monkeypatch):
         assert [r[0] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == len(want)
         exact = sum(i in {x for _, x in want} for _, i, _ in mine)
         assert exact >= 0.8 * len(want) and all(s == pytest.approx(found[i]) for _, i, s in mine)
+
+
+def test_a_query_is_sent_to_groups_not_to_leaves(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 100)
+    counts = np.array([30, 0, 30, 30, 30, 250, 20, 90, 5])
+    first, blocks = search._grouped(counts)
+    assert blocks.tolist() == [1, 1, 1, 1, 1, 3, 1, 1, 1]
+    assert first.tolist() == [0, 0, 0, 0, 1, 2, 5, 6, 6]
+    many = np.full(4096, 3)
+    groups = np.bincount(search._grouped(many)[0], weights=many)
+    assert groups.max() <= 100 and len(groups) <= 125
