@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import fixtures as fx
 from lattica import queries
@@ -110,3 +111,22 @@ def test_gradients_of_whole_vectors(spark, graph):
     scores = cells(spark, graph, "gat_backward_scores", ("v",), "d_dst"), cells(spark, graph, "gat_backward_scores", ("v",), "d_src")
     for found, want in zip(scores, (d_dst, d_src), strict=True):
         assert {v for (v,) in found} == {v for e in edges for v in e[:2]} and all(found[v,] == pytest.approx(want[v], abs=2e-6) for (v,) in found)
+
+
+def test_only_blocks_that_share_a_member_meet(spark, monkeypatch):
+    """Copies with members of their own cost their own cells, and a common member a bounded number of ranges of blocks."""
+    monkeypatch.setattr(reorder, "BLOCK", 4)
+    rows = [(v + 1000 * (v % 6), 50 * (v % 6) + (v * i) % 7) for v in range(48) for i in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "v long, u long")
+    lists, cells = reorder.blocked(frame)
+    assert lists.select("block").distinct().count() == 12 and cells.count() == 18  # two blocks a copy, three cells
+    sets = {v: {u for w, u in rows if w == v} for v, _ in rows}
+    want = brute(sets)
+    assert {(r.a, r.b): r.common for r in reorder.jaccard_pairs(frame).collect()} == {k: n for k, (n, _) in want.items()}
+    monkeypatch.setattr(reorder, "MEETINGS", 4)
+    shared = frame.unionByName(frame.select("v", F.lit(-1).cast("long").alias("u")).distinct())
+    assert reorder.blocked(shared)[1].count() == 78
+    both = brute({v: s | {-1} for v, s in sets.items()})
+    assert {(r.a, r.b): r.common for r in reorder.jaccard_pairs(shared).collect()} == {k: n for k, (n, _) in both.items()}
+    best = reorder.jaccard_pairs(shared, top=5).orderBy(F.desc("jaccard"), "a", "b").limit(5).collect()
+    assert [(r.a, r.b) for r in best] == sorted(both, key=lambda k: (-both[k][1], k))[:5]
