@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dot, guarded_divide, leaky_relu, vector
 from ..sources.scratch import written
 from .aggregate import WIDE, gather, spmm, sum_vectors, zero_fill
+from .grid import inner_products
 from .hubs import SHARE, hubs, salted, spread
 
 
@@ -102,13 +103,23 @@ def gat_backward(edges: DataFrame, features: DataFrame, attn: DataFrame, grad: D
     d x[src] sums p * dout[dst]. The score's gradient is p * (<x[src], dout[dst]> - its p-weighted mean by dst), times
     the leaky slope where the score is negative; it goes to both ends of the edge.
     """
-    scored = edge_scores(edges.drop("val"), attn).withColumn("lz", leaky_relu(F.col("z"), slope)).withColumn("e", F.exp("lz"))
-    p = divide_by_dst(scored, edge_sums(scored, "e"), "e")
-    there = grad.select(F.col("v").alias("dst"), F.col("feat").alias("dout"))
-    rows = gather(p, features).join(there, "dst").withColumn("g", dot(F.col("feat"), F.col("dout"), width))
-    d_feat = sum_vectors(rows, ["src"], F.col("dout"), width, scale=F.col("p")).withColumnRenamed("src", "v")
-    mean = rows.groupBy("dst").agg(F.sum(F.col("p") * F.col("g")).alias("mean"))
-    dz = rows.join(mean, "dst").withColumn("dz", F.col("p") * (F.col("g") - F.col("mean")) * F.when(F.col("z") < 0, F.lit(slope)).otherwise(F.lit(1.0)))
-    to = dz.groupBy(F.col("dst").alias("v")).agg(F.sum("dz").alias("d_dst"))
-    of = dz.groupBy(F.col("src").alias("v")).agg(F.sum("dz").alias("d_src"))
-    return d_feat, to.join(of, "v", "full").select("v", F.coalesce("d_dst", F.lit(0.0)).alias("d_dst"), F.coalesce("d_src", F.lit(0.0)).alias("d_src"))
+    scored = edge_scores(edges.select("dst", "src"), attn)
+    weighed = scored.withColumn("e", F.exp(leaky_relu(F.col("z"), slope)))
+    p = divide_by_dst(weighed, edge_sums(weighed, "e"), "e").select("dst", "src", "p")
+    there = p.join(grad.select(F.col("v").alias("dst"), F.col("feat").alias("dout")), "dst")
+    d_feat = sum_vectors(there, ["src"], F.col("dout"), width, scale=F.col("p")).withColumnRenamed("src", "v")
+    return d_feat, _score_gradients(scored, features, grad, width, slope)
+
+
+def _score_gradients(scored: DataFrame, features: DataFrame, grad: DataFrame, width: int, slope: float) -> DataFrame:
+    """v, d_dst, d_src from edges(dst, src, z). Products of both ends are taken on a grid (see `grid`), so edges are shuffled
+    with numbers and never with vectors; a receiver's sums give its own gradient and the mean that its edges need."""
+    rows = written(inner_products(scored.select("dst", "src", "z"), features, grad, width, "g"), "products")
+    rows = rows.withColumn("e", F.exp(leaky_relu(F.col("z"), slope))).withColumn("k", F.when(F.col("z") < 0, F.lit(slope)).otherwise(F.lit(1.0)))
+    e, g, k = F.col("e"), F.col("g"), F.col("k")
+    sums = rows.groupBy("dst").agg(F.sum(e).alias("total"), F.sum(e * g).alias("eg"), F.sum(e * g * k).alias("egk"), F.sum(e * k).alias("ek"))
+    sums = written(sums.withColumn("mean", F.col("eg") / F.col("total")), "sums")
+    to = sums.select(F.col("dst").alias("v"), ((F.col("egk") - F.col("mean") * F.col("ek")) / F.col("total")).alias("d_dst"))
+    dz = e / F.col("total") * (g - F.col("mean")) * k
+    of = rows.join(sums.select("dst", "total", "mean"), "dst").groupBy(F.col("src").alias("v")).agg(F.sum(dz).alias("d_src"))
+    return to.join(of, "v", "full").select("v", F.coalesce("d_dst", F.lit(0.0)).alias("d_dst"), F.coalesce("d_src", F.lit(0.0)).alias("d_src"))

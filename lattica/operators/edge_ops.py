@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dot, relu
 from ..sources.scratch import written
-from .aggregate import WIDE, sum_vectors, zero_fill
+from .aggregate import sum_vectors, zero_fill
 from .dense import matmul
-from .grid import inner_products
-from .hubs import SHARE, hubs, salted, spread
+from .grid import inner_products, relu_sums, side_of
+from .hubs import SHARE
 
 
 #: Bytes of vectors up to which a table of them is broadcast.
@@ -34,43 +36,37 @@ def sddmm(edges: DataFrame, of: DataFrame, to: DataFrame, width: int) -> DataFra
     return rows.withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y")
 
 
-def sddmm_grouped(edges: DataFrame, of: DataFrame, to: DataFrame, width: int, share: int = SHARE) -> DataFrame:
-    """The same with hubs at either end spread over several keys (see `hubs`)."""
-    edges = written(edges, "edges")
-    rows = _salted_ends(edges, of, to, hubs(edges, share))
-    return rows.withColumn("s", dot(F.col("x"), F.col("y"), width)).drop("x", "y", "src_salt", "dst_salt")
+def _side(vertices: int, width: int, share: int) -> int:
+    """Blocks on a side of a grid of `share` cells at least: a hub's edges are dealt over so many cells."""
+    return max(side_of(vertices, width, 1), math.isqrt(max(1, share - 1)) + 1)
 
 
-def _salted_ends(edges: DataFrame, of: DataFrame, to: DataFrame, found: DataFrame) -> DataFrame:
-    x = spread(of.select("v", F.col("feat").alias("x")), found, "src")
-    y = spread(to.select("v", F.col("feat").alias("y")), found, "dst")
-    return salted(edges, found).join(x, ["src", "src_salt"]).join(y, ["dst", "dst_salt"])
+def sddmm_grouped(edges: DataFrame, of: DataFrame, to: DataFrame, width: int, share: int = SHARE) -> DataFrame:
+    """The same on a grid of `share` cells or more, for tables of any size: a hub's edges are dealt over the cells of its row
+    or column, in groups by the block of their other end, and its vector is sent to each of them once."""
+    return inner_products(edges, of, to, width, side=_side(max(of.count(), to.count()), width, share))
 
 
 def edge_mlp_grouped(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame, share: int = SHARE) -> DataFrame:
-    """edge_mlp in groups of neighbours: a hub's edges are joined and summed by group, then groups are merged."""
+    """edge_mlp in groups of neighbours: a receiver's edges are summed by the cells of the grid that they fall into, then
+    groups are merged."""
     width = np.asarray(weights).shape[1]
-    edges = written(edges, "edges")
     h = written(matmul(features, weights), "layer")
-    rows = _salted_ends(edges, h, h, hubs(edges, share))
-    groups = sum_vectors(rows, ["dst", "dst_salt"], F.zip_with("x", "y", lambda a, b: relu(a + b)), width)
+    groups = relu_sums(edges, h, h, width, _side(h.count(), width, share))
     return zero_fill(vertices, sum_vectors(groups, ["dst"], F.col("feat"), width).withColumnRenamed("dst", "v"), width)
 
 
 def edge_mlp(edges: DataFrame, features: DataFrame, weights: np.ndarray, vertices: DataFrame) -> DataFrame:
     """y[v] = sum over edges of relu((x[dst] + x[src]) W).
 
-    The product is linear, so every vertex is multiplied once and edges only add.
+    The product is linear, so every vertex is multiplied once and edges only add: by broadcast of the products where they
+    are counted to be small, in the cells of a grid beyond.
     """
     width = np.asarray(weights).shape[1]
-    h = matmul(features, weights)
-    rows = both_ends(edges, h, h)
-    keys = ["dst"]
-    if width <= WIDE:
-        sums = rows.groupBy(*keys).agg(*[F.sum(relu(F.get("x", F.lit(k)) + F.get("y", F.lit(k)))).alias(f"__{k}") for k in range(width)])
-        sums = sums.select(*keys, F.array(*[F.col(f"__{k}") for k in range(width)]).alias("feat"))
+    h = written(matmul(features, weights), "layer")
+    if h.count() * width * 8 > MOST_BROADCAST:
+        sums = sum_vectors(relu_sums(edges, h, h, width), ["dst"], F.col("feat"), width)
     else:
-        sums = sum_vectors(rows, keys, F.zip_with("x", "y", lambda a, b: relu(a + b)), width)
+        rows = both_ends(edges, F.broadcast(h), F.broadcast(h))
+        sums = sum_vectors(rows, ["dst"], F.zip_with("x", "y", lambda a, b: relu(a + b)), width)
     return zero_fill(vertices, sums.withColumnRenamed("dst", "v"), width)
-
-

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import edge_ops, grid
+from lattica.operators import attention, edge_ops, grid
 
 
 def graph(spark, n=60, m=900, width=5):
@@ -49,3 +49,32 @@ def test_sddmm_is_the_same_by_hubs_by_broadcast_and_on_a_grid(spark, monkeypatch
     assert want == rows(edge_ops.sddmm_grouped(edges, features, features, 5, share=4))
     monkeypatch.setattr(edge_ops, "MOST_BROADCAST", 0)
     assert rows(edge_ops.sddmm(edges, features, features, 5)) == want
+
+
+def test_sums_on_a_grid(spark, monkeypatch):
+    """A cell passes on a row for each of its receivers, whatever their edges."""
+    ends, x, edges, features = graph(spark)
+    want = np.zeros_like(x)
+    for d, s in ends:
+        if max(d, s) < len(x):
+            want[d] += np.maximum(x[d] + x[s], 0)
+    for side in (1, 3):
+        groups = grid.relu_sums(edges, features, features, 5, side).collect()
+        got = np.zeros_like(x)
+        for r in groups:
+            got[r.dst] += r.feat
+        assert (got == want).all() and len(groups) <= side * len(x)
+    monkeypatch.setattr(edge_ops, "MOST_BROADCAST", 0)
+    for mlp in (edge_ops.edge_mlp, edge_ops.edge_mlp_grouped):
+        y = {r.v: r.feat for r in mlp(edges, features, np.eye(5), features.select("v")).collect()}
+        assert all(y[v] == want[v].tolist() for v in range(len(x)))
+    text = edge_ops.sddmm_grouped(edges.select("eid", "dst", "src"), features, features, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join", text)
+
+
+def test_gradients_of_scores_shuffle_no_vectors_with_edges(spark):
+    _, _, edges, features = graph(spark)
+    edges = edges.select("dst", "src").where("dst IS NOT NULL AND src IS NOT NULL").withColumn("val", F.lit(1.0)).distinct()
+    attn = attention.attention_pair(features, [0.1] * 5, [0.2] * 5)
+    _, scores = attention.gat_backward(edges, features, attn, features, 5)
+    assert "feat" not in scores._jdf.queryExecution().executedPlan().toString()
