@@ -11,6 +11,8 @@ from .order import compacted
 
 #: Parts that a vertex's edges are dealt over before they are cut.
 PARTS = 64
+#: Edges of a task that cuts them, by their count, so that what a task sorts doesn't grow with the table.
+TASK_ROWS = 250_000
 
 
 def sample_key(dst: Column, src: Column, seed: int | Column = 0) -> Column:
@@ -46,10 +48,12 @@ def chosen_neighbours(edges: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     dealt over parts by a hash of the source and cut to `limit` there, then parts are merged, so neither a hub's edges nor
     its lists meet in one task before they are short.
     """
-    distinct = edges.dropDuplicates(["dst", "src"]).withColumn("__key", sample_key(F.col("dst"), F.col("src"), seed))
-    distinct = distinct.withColumn("__part", F.pmod(F.xxhash64("src"), F.lit(PARTS)))
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_ROWS))
+    dealt = edges.withColumn("__part", F.pmod(F.xxhash64("src"), F.lit(PARTS))).repartition(tasks, "dst", "__part")
+    distinct = dealt.dropDuplicates(["dst", "src", "__part"]).withColumn("__key", sample_key(F.col("dst"), F.col("src"), seed))
     for by in (["dst", "__part"], ["dst"]):
         order = Window.partitionBy(*by).orderBy("__key", "src")
+        distinct = distinct if len(by) > 1 else distinct.repartition(tasks, "dst")
         distinct = distinct.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
     return distinct.drop("__n", "__part", "__key")
 

@@ -38,3 +38,12 @@ def test_a_hub_and_odd_vertices(spark):
             around.setdefault(r.dst, []).append((r.h, r.src))
         want = {(d, s) for d, row in around.items() for _, s in sorted(row)[:8]}
         assert {(r.dst, r.src) for r in got} == want and len(got) == len(want)
+
+
+def test_tasks_follow_the_number_of_edges(spark, monkeypatch):
+    edges = spark.range(6000).select((F.col("id") % 40).alias("dst"), (F.col("id") * 7 % 1500).alias("src"), F.col("id").alias("eid"))
+    pairs = lambda df: {(r.dst, r.src) for r in df.collect()}
+    want = pairs(sample.chosen_neighbours(edges, 8))
+    monkeypatch.setattr(sample, "TASK_ROWS", 100)
+    many = sample.chosen_neighbours(edges, 8)
+    assert pairs(many) == want and many.rdd.getNumPartitions() == 60
