@@ -288,8 +288,8 @@ def spmm_locality(spark, d):
 @query(_SQL["spmm_weighted"])
 def spmm_edgewise(spark, d):
     coo = fx.edges(spark, d).select("src", "dst", "val")
-    long = coo.join(aggregate.to_long(fx.features(spark, d)).withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v"), "k").agg(F.sum(F.col("val") * F.col("x")).alias("x"))
-    return _long(aggregate.zero_fill(fx.vertices(spark, d), aggregate.to_wide(long), fx.WIDTH))
+    terms = aggregate.gather(coo, fx.features(spark, d)).select(F.col("dst").alias("v"), F.transform("feat", lambda x: x * F.col("val")).alias("feat"))
+    return _long(aggregate.zero_fill(fx.vertices(spark, d), aggregate.sum_vectors(terms, ["v"], F.col("feat"), fx.WIDTH), fx.WIDTH))
 
 
 @query(_with(OUT.format("y"), E, "r AS (SELECT e.* FROM e, n WHERE src >= n // 4 AND src < n // 2)", _x(), _sum("x", "y", edges="r")))
