@@ -36,8 +36,9 @@ MOST_SOLVED = 200_000
 
 #: Bytes of a window. Longer segments are solved in windows that overlap by half; results don't depend on it.
 WINDOW = 64
-#: Bytes that one recursive query contracts, and ids that one decoding query holds.
-CONTRACTED, DECODED = 1_000_000, 500_000
+#: Bytes of text whose words are lists at once, bytes that one recursive query contracts, and ids that one decoding query
+#: holds: with the words that stay, what a worker's memory depends on.
+SLICE, CONTRACTED, DECODED = 750_000, 1_000_000, 200_000
 
 #: Unnested token-position rows join the merge table, and each list loses its leftmost minimum-rank pair, to the fixpoint.
 #: USING KEY keeps the last list of each segment only.
@@ -293,7 +294,7 @@ def encoder(ranks: dict[bytes, int]) -> Encoder:
 def _encode(ranks, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value)
-        for batch in slices(batches, "text", 1_500_000):
+        for batch in slices(batches, "text", SLICE):
             raw = own.encode([x or "" for x in batch.column("text").to_pylist()])
             ids = [np.frombuffer(x, "<u4") for x in raw]
             decoded = []

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+import types
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -94,6 +96,18 @@ def test_decoding_reads_the_ids(encoder):
     assert got[2] == b" twoone" + text.encode()[7:] and got[3] != text.encode()
 
 
+def test_lists_of_words_and_decoding_queries_are_bounded(monkeypatch):
+    """What a worker holds beside its batch: the words of at most SLICE bytes of text, and a query's ids."""
+    held, asked = [], []
+    encode, bounded = bpe.Encoder.encode, bpe._bounded
+    monkeypatch.setattr(bpe.Encoder, "encode", lambda self, texts: held.append(sum(map(len, texts))) or encode(self, texts))
+    monkeypatch.setattr(bpe, "_bounded", lambda rows, items, most=bpe.CONTRACTED: (asked.append(sum(len(items[i]) for i in part)) or part for part in bounded(rows, items, most)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["one two three " * 5_000] * 40)], ["key", "text"])
+    rows = [b for b in bpe._encode(types.SimpleNamespace(value=bpe.read_ranks(RANKS)), False)(iter([batch]))]
+    assert sum(b.num_rows for b in rows) == 40 and len({x for b in rows for x in b.column("decoded_sha256").to_pylist()}) == 1
+    assert max(held) <= 750_000 and max(asked) <= 300_000
+
+
 def test_unknown_ids_decode_to_null(spark):
     rows = spark.createDataFrame([(1, [0, 60_000]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(rows, RANKS).collect()} == {1: None, 2: bytearray(), 3: bytearray()}
