@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .order import number_rows
 
-#: Sets of a block under one member; members of a set up to which it travels whole; rows of a table that is broadcast.
-BLOCK, LARGE, MOST_BROADCAST = 1024, 2048, 50_000
+#: Sets of a block under one member, and of a chunk that meets the other block at once; members of a set up to which it
+#: travels whole; rows of a table that is broadcast.
+BLOCK, CHUNK, LARGE, MOST_BROADCAST = 1024, 64, 2048, 50_000
 PAIR = "a long, b long, common long, jaccard double"
 
 
@@ -51,27 +52,44 @@ def _dealt(tokens: DataFrame) -> DataFrame:
 
 
 def _pairs(r: int, left: list, right: list | None, least: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, common, jaccard) of similar pairs between two lists of (v, s), or within one, whose first common member is r."""
+    """(a, b, common, jaccard) of similar pairs between two lists of (v, s), or within one, whose first common member is r.
+    CHUNK sets of the left meet all of the other list at once: each member's owners are counted in one array."""
     other = left if right is None else right
     w = np.array([v for v, _ in other], np.int64)
     m = np.array([len(s) for _, s in other])
     members, of = np.unique(np.concatenate([s for _, s in other]), return_inverse=True)
     owner = np.repeat(np.arange(len(w)), m)[np.argsort(of, kind="stable")]
+    key = np.sort(of) * len(w) + owner  # ascending: a member's owners from any row on are one run
     ends = np.cumsum(np.bincount(of, minlength=len(members)))
-    starts = ends - np.diff(np.concatenate([[0], ends]))
-    for k, (v, s) in enumerate(left):
-        at = np.searchsorted(members, s).clip(max=len(members) - 1)
-        known = members[at] == s
-        counts = lambda which: np.bincount(np.concatenate([owner[starts[x] : ends[x]] for x in at[which]]), minlength=len(w)) if which.any() else np.zeros(len(w), int)
+    for first in range(0, len(left), CHUNK):
+        part = left[first : first + CHUNK]
+        v, n = np.array([x for x, _ in part], np.int64), np.array([len(s) for _, s in part])
+        flat, row = np.concatenate([s for _, s in part]), np.repeat(np.arange(len(part)), n)
+        at = np.searchsorted(members, flat).clip(max=len(members) - 1)
+        known = members[at] == flat
+        begin = first if right is None else 0  # within one list, later sets only
+        width = len(w) - begin
+
+        def counts(which: np.ndarray) -> np.ndarray:
+            place = at[which]  # noqa: B023
+            start = np.searchsorted(key, place * len(w) + begin)  # noqa: B023
+            times = ends[place] - start
+            met = owner[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())] - begin  # noqa: B023
+            return np.bincount(met + np.repeat(row[which], times) * width, minlength=len(part) * width)  # noqa: B023
+
         common = counts(known)
-        jaccard = common / (len(s) + m - common)
-        fits = jaccard >= least - 1e-12
+        # the smallest sets need so many common members, all others more
+        hit = np.flatnonzero(common >= max(1, (least - 1e-9) * (n.min() + m[begin:].min()) / (1 + least)))
+        i, j, common = hit // width, hit % width, common[hit]
+        jaccard = common / (n[i] + m[begin + j] - common)
+        fits = (jaccard >= least - 1e-12) & (v[i] != w[begin + j])
         if right is None:
-            fits[: k + 1] = False
+            fits &= j > i
         if fits.any():
-            fits &= counts(known & (s < r)) == 0
-            j = np.flatnonzero(fits & (w != v))
-            yield np.minimum(v, w[j]), np.maximum(v, w[j]), common[j], jaccard[j]
+            fits &= counts(known & (flat < r))[hit] == 0
+            i, j = i[fits], begin + j[fits]
+            if len(i):
+                yield np.minimum(v[i], w[j]), np.maximum(v[i], w[j]), common[fits], jaccard[fits]
 
 
 def _scored(least: float):

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
+import numpy as np
 import pytest
 
-from lattica.operators import similar
+from lattica.operators import reorder, similar
 
 
 def sets_of(rng, n, members):
@@ -72,3 +73,34 @@ def test_rows_shuffled_grow_with_prefixes(spark):
         return similar._dealt(tokens).count()
 
     assert dealt(2000) < 2.5 * dealt(1000)
+
+
+def test_a_block_is_scored_in_chunks_not_set_by_set():
+    """Chunks give what each two sets give, within a list and between two, and come as few arrays."""
+    rng = random.Random(4)
+    sets = [(3 * v, np.array(sorted({7, *rng.sample(range(8, 60), 12), *rng.sample(range(7), rng.randrange(2))}))) for v in range(300)]
+    for left, right in ((sets, None), (sets[:150], sets[150:])):
+        parts = list(similar._pairs(7, left, right, 0.2))
+        got = {(int(a), int(b)): (int(n), float(x)) for p in parts for a, b, n, x in zip(*p, strict=True)}
+        want = {}
+        for (a, s), (b, t) in combinations(sets, 2) if right is None else product(left, right):
+            both = set(s.tolist()) & set(t.tolist())
+            if min(both) == 7 and len(both) / len({*s.tolist(), *t.tolist()}) >= 0.2:
+                want[a, b] = (len(both), len(both) / len({*s.tolist(), *t.tolist()}))
+        assert got == want and want
+        assert len(parts) <= -(-len(left) // 32)
+
+
+def test_clusters_find_pairs_once(spark):
+    """The pairs are computed for one write, however often groups and merges read them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    given = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.4), (4, 5, 0.3)], "a long, b long, jaccard double").repartition(2)
+    sets = spark.createDataFrame([(v, u) for v in range(6) for u in (v, v + 1)], "v long, u long")
+    named = reorder.clusters(given.mapInArrow(counted, given.schema), sets, sets.select("v").distinct())
+    assert named.count() == 6 and seen.value == 3
