@@ -11,6 +11,7 @@ from .operators.schedule import Schedule, tasked
 from .plans.models import MODELS
 from .plans.rewrite import stack
 from .sources import dumps, files
+from .sources.scratch import written
 
 
 def load_graph(spark: SparkSession, path: str, kind: str = "text", reorder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +27,8 @@ def load_graph(spark: SparkSession, path: str, kind: str = "text", reorder: str
     elif kind in ("binary", "cached"):
         arrays = f"{path}.graph.ptrdump", f"{path}.graph.edgedump"
         if kind == "cached" and not all(map(dumps.exists, arrays)):
-            files.write_csr_binary(files.read_csr_text(spark, f"{path}.graph"), vertices, *arrays)
+            # parsed once: pointers, their sum and the neighbours each read the edges
+            files.write_csr_binary(written(files.read_csr_text(spark, f"{path}.graph"), "parsed"), vertices, *arrays)
         edges = files.read_csr_binary(spark, *arrays)
     elif kind == "parquet":
         edges = spark.read.parquet(f"{path}.parquet")

@@ -114,9 +114,9 @@ def load_csr_text(spark, d):
 @query(_with("SELECT eid, dst, src, 1.0e0 AS val FROM e", E))
 def load_csr_binary(spark, d):
     """The graph as raw integers: the first load parses the text and writes them, the second reads them."""
-    path = fx.scratch(spark, "raw")
-    fx.edges(spark, d).agg(F.concat_ws(" ", F.lit(fx.size(spark, d)), F.count("*")).alias("value")).coalesce(1).write.text(f"{path}.config")
-    files.write_csr_text(fx.edges(spark, d), fx.vertices(spark, d), f"{path}.graph")
+    path, edges = fx.scratch(spark, "raw"), fx.edges(spark, d)
+    edges.agg(F.concat_ws(" ", F.lit(fx.size(spark, d)), F.count("*")).alias("value")).coalesce(1).write.text(f"{path}.config")
+    files.write_csr_text(edges, fx.vertices(spark, d), f"{path}.graph")
     api.load_graph(spark, path, "cached")
     return api.load_graph(spark, path, "cached")[0]
 
