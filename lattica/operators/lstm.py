@@ -13,12 +13,6 @@ from .aggregate import gather_steps
 from .dense import matmul
 
 
-def sequences(steps: DataFrame) -> DataFrame:
-    """v, seq: neighbours' vectors in order, one after the other, from (dst, step, feat)."""
-    ordered = steps.groupBy(F.col("dst").alias("v")).agg(F.array_sort(F.collect_list(F.struct("step", "feat"))).alias("s"))
-    return ordered.select("v", F.flatten(F.transform("s", lambda x: x["feat"])).alias("seq"))
-
-
 def step(gates: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """New h and c of a batch from its gate sums."""
     o, g, f, i = np.split(gates, 4, axis=1)
@@ -28,26 +22,44 @@ def step(gates: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold(rows: DataFrame, recurrent: np.ndarray, steps: int, weights: np.ndarray | None = None) -> DataFrame:
-    """features(v, feat): the last h of each sequence of exactly `steps` vectors, from zero h and c.
+    """features(v, feat): the last h of each vertex of (dst, step, feat) with exactly `steps` vectors, from zero h and c.
 
-    With `weights` the vectors are inputs and are multiplied here, once per step; else they are gate sums already. The
-    fold is sequential in the steps and runs over all vertices of an Arrow batch at once.
+    With `weights` the vectors are inputs and are multiplied here, once per step; else they are gate sums already. Steps
+    reach Python as rows, sorted by vertex and place, so an Arrow batch holds 10,000 vectors and not as many sequences of
+    them. The fold is sequential in the steps and runs over all vertices of a batch at once; the last one waits for the
+    next batch, which may hold the rest of it.
     """
     width = np.asarray(recurrent).shape[0]
+    inputs = 4 * width if weights is None else np.asarray(weights).shape[0]
+    whole = rows.where(F.col("dst").isNotNull() & (F.size("feat") == inputs)).select(F.col("dst").cast("long").alias("v"), "step", "feat")
+
+    def folded(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v, first, count = np.unique(ids, return_index=True, return_counts=True)
+        v, first = v[count == steps], first[count == steps]
+        if not len(v):
+            return
+        h = c = np.zeros((len(v), width))
+        for t in range(steps):
+            at = x[first + t]
+            h, c = step((at if weights is None else at @ weights) + h @ recurrent, c)
+        ends = pa.array(np.arange(0, h.size + 1, width, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], ["v", "feat"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = np.empty(0, np.int64), np.empty((0, inputs))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seq = batch.column("seq").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, steps, -1)
-            h = c = np.zeros((batch.num_rows, width))
-            for t in range(steps):
-                x = seq[:, t] if weights is None else seq[:, t] @ weights
-                h, c = step(x + h @ recurrent, c)
-            ends = pa.array(np.arange(0, h.size + 1, width, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], ["v", "feat"])
+            ids = np.concatenate([ids, batch.column("v").to_numpy()])
+            x = np.concatenate([x, batch.column("feat").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)])
+            last = np.searchsorted(ids, ids[-1])
+            yield from folded(ids[:last], x[:last])
+            ids, x = ids[last:].copy(), x[last:].copy()
+        yield from folded(ids, x)
 
-    return rows.mapInArrow(run, "v long, feat array<double>")
+    # Dealt by a digest: rows that a join has dealt by v already would not be dealt again, and once that join is a broadcast
+    # they are read where they were written, a vertex in several tasks.
+    return whole.repartition(F.xxhash64("v")).sortWithinPartitions("v", "step").mapInArrow(run, "v long, feat array<double>")
 
 
 def sage_lstm(edges: DataFrame, features: DataFrame, weights: np.ndarray, recurrent: np.ndarray, steps: int, bypass: bool = True) -> DataFrame:
@@ -58,6 +70,4 @@ def sage_lstm(edges: DataFrame, features: DataFrame, weights: np.ndarray, recurr
     """
     source = matmul(features, weights) if bypass else features
     kept = gather_steps(edges, source).where(F.col("step") < steps)
-    rows = sequences(kept)
-    width = np.asarray(weights).shape[1 if bypass else 0]
-    return fold(rows.where(F.size("seq") == steps * width), recurrent, steps, None if bypass else weights)
+    return fold(kept, recurrent, steps, None if bypass else weights)
