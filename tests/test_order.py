@@ -66,3 +66,20 @@ def test_a_long_row_lies_in_many_ranges(spark, ranges):
     numbered = order.number_rows(edges, ["dst", "eid"], "n")
     largest = numbered.groupBy(F.floor(F.col("n") / 1)).count().count()
     assert largest == 4000 and ranges[-1][1] == 13
+
+
+def test_edges_are_numbered_by_one_number_in_the_order_of_both_ends(spark, tmp_path, monkeypatch):
+    """Sorting by two columns compares rows of the same receiver with each other; nulls and negative ends keep their places."""
+    from lattica import fixtures as fx
+
+    spark.range(50).selectExpr("id AS vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ends = [None, *range(-130, 131, 7), 2**60 + 3, -(2**60)]
+    rows = [(p, o, s) for p in ends for o, s in ((None, 1), (-9, 4), (0, 0), (7, 1), (7, 1), (10**12, 3))]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    keys, number = [], order.number_rows
+    monkeypatch.setattr(fx, "number_rows", lambda df, key, out: keys.append([dict(df.dtypes)[k] for k in ([key] if isinstance(key, str) else key)]) or number(df, key, out))
+    got = fx.edges(spark, str(tmp_path))
+    assert keys == [["bigint"]] and got.dtypes == [("eid", "bigint"), ("dst", "bigint"), ("src", "bigint"), ("val", "double")]
+    want = sorted((tuple(r) for r in fx.plain_edges(spark, str(tmp_path)).collect()), key=lambda r: [(x is not None, x or 0) for x in r[:2]])
+    assert [tuple(r) for r in got.orderBy("eid").collect()] == [(i, *r) for i, r in enumerate(want)]
+    assert None in {r[0] for r in want} and None in {r[1] for r in want} and min(r[0] for r in want if r[0] is not None) < 0
